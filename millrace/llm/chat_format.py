@@ -46,14 +46,16 @@ def paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     nodes = materialise(nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "chat-nodes")
     known = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     base = nodes.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("sum"))
+    # A jump table holds the messages that were not at their root before; those with a null ``up`` have arrived.
     jumps = [materialise(base, "chat-jumps")]
+    arrived = jumps[0].where("up is null")
     most = max(1, nodes.count()).bit_length() + 1
-    while len(jumps) <= most and not jumps[-1].where("up is not null").isEmpty():
-        last = jumps[-1]
-        further = last.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
-        jumps.append(materialise(last.join(further, ["tree", "up"], "left").select("tree", "node", F.col("next").alias("up"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("sum")), "chat-jumps"))
+    while len(jumps) <= most and not (going := jumps[-1].where("up is not null")).isEmpty():
+        further = going.unionByName(arrived).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("sum").alias("more"))
+        jumps.append(materialise(going.join(further, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("sum") + F.col("more")).alias("sum")), "chat-jumps"))
+        arrived = arrived.unionByName(jumps[-1].where("up is null"))
     parents = base.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = jumps[-1].where("up is null").join(parents, ["tree", "node"], "left_anti")
+    leaves = arrived.join(parents, ["tree", "node"], "left_anti")
     best = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("sum"), "node"))).where(F.col("rank") <= branches)
     found = best.select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("up_by"))
     for k, jump in enumerate(jumps[:-1]):
