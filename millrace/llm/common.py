@@ -116,10 +116,14 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     hooks: list[DataFrame] = []
     while not edges.isEmpty():
         hook = materialise(edges.groupBy("hi").agg(F.min("lo").alias("to")), f"{tag}-hooks")
-        for _ in range(2):
-            further = hook.select(F.col("hi").alias("to"), F.col("to").alias("next"))
-            hook = hook.join(further, "to", "left").select("hi", F.coalesce("next", "to").alias("to"))
-        hook = materialise(hook, f"{tag}-hooks")
+        # Paths are followed to their ends: a hook that ended at a hooked node would tear its component apart.
+        while True:
+            for _ in range(2):
+                further = hook.select(F.col("hi").alias("to"), F.col("to").alias("next"))
+                hook = hook.join(further, "to", "left").select("hi", F.coalesce("next", "to").alias("to"))
+            hook = materialise(hook, f"{tag}-hooks")
+            if hook.join(hook.select(F.col("hi").alias("to")), "to", "left_semi").isEmpty():
+                break
         hooks.append(hook)
         low = hook.select(F.col("hi").alias("lo"), F.col("to").alias("low"))
         moved = edges.join(hook, "hi").join(low, "lo", "left").select("to", F.coalesce("low", "lo").alias("lo")).where("to <> lo")
