@@ -18,13 +18,15 @@ class Tables:
     """A name's table is what was registered, or ``{folder}/{name}.{format}``, or a table of the session.
 
     provide() makes it a temporary view; what reads it then has its plan, so a later registration changes nothing there.
+    The folder and its tables are only read unless ``writable``; a table registered at a path of its own can be written.
     """
 
-    def __init__(self, spark: SparkSession, tables: str | dict[str, DataFrame | str] | None = None, format: str = "parquet"):
-        self.spark, self.format = spark, format
+    def __init__(self, spark: SparkSession, tables: str | dict[str, DataFrame | str] | None = None, format: str = "parquet", writable: bool = False):
+        self.spark, self.format, self.writable = spark, format, writable
         self.folder = tables.rstrip("/") if isinstance(tables, str) else None
         self.known: dict[str, DataFrame] = {}
         self.paths: dict[str, tuple[str, str]] = {}
+        self.registered: set[str] = set()
         for name, table in (tables if isinstance(tables, dict) else {}).items():
             self.register(name, table)
 
@@ -34,6 +36,7 @@ class Tables:
             self.known.pop(name.lower(), None)
         else:
             self.known[name.lower()] = table
+            self.registered.add(name.lower())
 
     def read(self, path: str, format: str) -> DataFrame:
         reader = self.spark.read
@@ -79,16 +82,24 @@ class Tables:
     def columns(self, name: str) -> list[str]:
         return self.get(name).columns
 
+    def place(self, name: str) -> tuple[str, str] | None:
+        """Where a table is written (path, format); None for one that lives in this object alone."""
+        key = name.lower()
+        if key in self.paths:
+            return self.paths[key]
+        if self.folder and self.writable and key not in self.registered:
+            return f"{self.folder}/{name}.{self.format}", self.format
+        return None
+
     def append(self, name: str, rows: DataFrame, by_name: bool = False) -> DataFrame:
         """Adds rows to a table: by name if all names are the table's own, else by place. Returns the rows as added.
 
-        Tables at a path are appended to; a registered DataFrame becomes its union with the rows; a name that nothing has
-        becomes a table of the session, or a folder where the tables are folders.
+        Tables that have a place are appended to there; any other becomes, in this object, its union with the rows.
         """
         key = name.lower()
         if not self.has(name):
-            if self.folder or key in self.paths:
-                path, format = self.paths.get(key, (f"{self.folder}/{name}.{self.format}", self.format))
+            if place := self.place(name):
+                path, format = place
                 rows.write.format(format).mode("append").save(path)
                 self.paths[key] = (path, format)
             else:
@@ -102,8 +113,8 @@ class Tables:
             fitted = rows.toDF(*target.columns).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema])
         else:
             raise QueryError(f"insert into {name}: {len(rows.columns)} columns given, the table has {len(target.columns)}")
-        if key in self.paths or self.folder:
-            path, format = self.paths.get(key, (f"{self.folder}/{name}.{self.format}", self.format))
+        if place := self.place(name):
+            path, format = place
             fitted.write.format(format).mode("append").save(path)
             self.known.pop(key, None)
             self.spark.catalog.refreshByPath(path)
@@ -115,10 +126,11 @@ class Tables:
         """Puts rows in a table's place. At a path they are written beside it first and then swapped in, so that a failed
         write leaves the old rows; there must be one writer."""
         key = name.lower()
-        if key not in self.paths and not (self.folder and key not in self.known):
+        place = self.place(name)
+        if place is None:
             self.known[key] = rows
             return
-        path, format = self.paths.get(key, (f"{self.folder}/{name}.{self.format}", self.format))
+        path, format = place
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path_of = jvm.org.apache.hadoop.fs.Path
         staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
