@@ -115,12 +115,13 @@ def _matched(basis: np.ndarray, stages: list[int], threshold: float, kind: type)
         order = np.argsort(side, kind="stable")
         ids, n, raw = ids[order], n[order], table.column("vec").take(pa.array(order)).to_pylist()
         units = _unit(raw, kind)
-        cut = int((side == 0).sum())
-        same = cut == len(ids)
+        # Sides: 0 in a tile of one block with itself, else 1 and 2; a side can be empty.
+        same = bool((side == 0).all())
+        cut = len(ids) if same else int((side == 1).sum())
         x, y, off = units[:cut], units[cut:], 0 if same else cut
         count, a, b = np.zeros(len(ids), np.int64), [], []
         root = np.arange(len(ids))
-        for i, j in tile_links(x, y, basis, stages, threshold, same) if cut else ():
+        for i, j in tile_links(x, y, basis, stages, threshold, same) if same or len(x) and len(y) else ():
             j = j + off
             count += np.bincount(i, weights=n[j], minlength=len(ids)).astype(np.int64) + np.bincount(j, weights=n[i], minlength=len(ids)).astype(np.int64)
             ra, rb = root[i], root[j]
@@ -189,7 +190,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     own = own.withColumn("other", F.explode(F.get(others, F.col("cell"))))
     own = own.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("other")) - 1)))
     mine, theirs = F.struct(F.col("cell").alias("c"), F.col("chunk").cast("long").alias("k")), F.struct(F.col("other").cast("long").alias("c"), F.col("other_chunk").cast("long").alias("k"))
-    tiled = own.select("id", "n", "vec", F.least(mine, theirs).alias("t"), F.greatest(mine, theirs).alias("u"), (mine > theirs).cast("int").alias("side"))
+    tiled = own.select("id", "n", "vec", F.least(mine, theirs).alias("t"), F.greatest(mine, theirs).alias("u"), F.when(mine == theirs, 0).when(mine < theirs, 1).otherwise(2).alias("side"))
     found = materialise(tiled.groupBy("t", "u").applyInArrow(_matched(basis, stages, threshold, kind), "id long, root long, links long"), "embed-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts_ = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "embed").withColumnRenamed("node", "id")

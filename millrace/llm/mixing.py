@@ -64,9 +64,11 @@ def apportion(parts: DataFrame, key: list[str], within: list[str], share: str, s
     tried = own.where("__tries > 0").select(*key, "__part", "__first", "__off", step.alias("__step"))
     seat = F.when(F.col("__off") > 0, F.col("__first") + F.col("__step") - 1).otherwise(F.col("__first") - F.col("__step"))
     quotient = F.col("__part") / (2 * seat + 1)
-    best = F.when(F.col("__off") > 0, -quotient).otherwise(quotient)
-    rank = Window.partitionBy(*within) if within else Window.partitionBy()
-    won = tried.withColumn("__rank", F.row_number().over(rank.orderBy(best, *key))).where("__rank <= abs(__off)")
+    group = Window.partitionBy(*within) if within else Window.partitionBy()
+    # Of equal quotients the smaller key has the seat, so it is the first to gain one and the last to lose one.
+    gained = F.row_number().over(group.orderBy(-quotient, *[F.asc(k) for k in key]))
+    lost = F.row_number().over(group.orderBy(quotient, *[F.desc(k) for k in key]))
+    won = tried.withColumn("__rank", F.when(F.col("__off") > 0, gained).otherwise(lost)).where("__rank <= abs(__off)")
     won = won.groupBy(*key).agg(F.sum(F.signum("__off")).cast("long").alias("__more"))
     same = [F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key]
     joined = own.alias("p").join(won.alias("w"), same, "left")
