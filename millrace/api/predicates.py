@@ -116,7 +116,7 @@ def col(name: str) -> Predicate:
 
 
 def call(name: str, *args: Any, distinct: bool = False) -> Predicate:
-    return Predicate(t.Call(name, tuple(t.Star() if a == "*" else node(a) for a in args), distinct))
+    return Predicate(t.Call(name, tuple(t.Star() if isinstance(a, str) and a == "*" else node(a) for a in args), distinct))
 
 
 def param(name: str) -> Predicate:

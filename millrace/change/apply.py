@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,9 +66,10 @@ def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataF
 def apply_changes(tables: dict[str, DataFrame], keys: dict[str, str], changes: DataFrame, own_origin: str, foreign_keys: tuple[ForeignKey, ...] = (), passes: int = 3) -> Applied:
     """Applies a log's changes to the tables they name.
 
-    Changes of our own origin are echoes and skipped. All changes go in at once; rows whose parents are missing are held
-    back, and with them, pass by pass, what depends on them. If rows are still held back when nothing more moves, or after
-    the last pass, DeferredChangesError names how many.
+    Changes of our own origin are echoes and skipped. The others go in all at once, so their order can't matter: a row
+    lacks its parent only if nothing brings it. Such rows are held back, and pass by pass what then lacks them, until no
+    more are found or ``passes`` are done; DeferredChangesError tells how many. Rows that lacked a parent before the
+    changes are let be.
     """
     total = changes.count()
     foreign = without_echo(changes, own_origin)
@@ -78,26 +78,19 @@ def apply_changes(tables: dict[str, DataFrame], keys: dict[str, str], changes: D
     for name in tables:
         out[name] = merge(tables[name], foreign.where(F.col("table_name") == name), keys[name])
     done = Applied(out, counted, total - counted)
-    if not foreign_keys:
-        return done
-    for done.passes in range(1, max(1, passes) + 1):
-        found = {}
-        for fk in foreign_keys:
-            if fk.child in out and fk.parent in out and (n := orphans(out[fk.child], fk.column, out[fk.parent], fk.key).count()):
-                found[fk.child] = found.get(fk.child, 0) + n
-        if found == done.deferred:
-            break
-        done.deferred = found
+    known = [fk for fk in foreign_keys if fk.child in out and fk.parent in out]
+    for done.passes in range(1, max(1, passes) + 1 if known else 1):
+        found = 0
+        for fk in known:
+            own = F.col(keys[fk.child]).alias("__held")
+            before = orphans(tables[fk.child], fk.column, tables[fk.parent], fk.key).select(own)
+            held = orphans(out[fk.child], fk.column, out[fk.parent], fk.key).select(own).join(before, "__held", "left_anti")
+            if n := held.count():
+                out[fk.child] = out[fk.child].join(held, F.col(keys[fk.child]) == F.col("__held"), "left_anti")
+                done.deferred[fk.child] = done.deferred.get(fk.child, 0) + n
+                found += n
         if not found:
             break
-        for fk in foreign_keys:
-            if fk.child in found:
-                held = orphans(out[fk.child], fk.column, out[fk.parent], fk.key).select(F.col(keys[fk.child]).alias("__held"))
-                out[fk.child] = out[fk.child].join(held, F.col(keys[fk.child]) == F.col("__held"), "left_anti")
     if left := sum(done.deferred.values()):
         raise DeferredChangesError(left, done.passes)
     return done
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

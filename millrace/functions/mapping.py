@@ -54,7 +54,8 @@ def _number(x: Column) -> Column:
 def _substring(a: list[Column]) -> Column:
     if len(a) < 2:
         return F.lit(None).cast("string")
-    start = F.greatest(_number(a[1]) - 1, F.lit(0))
+    first = _number(a[1])
+    start = F.when(first.isNotNull(), F.greatest(first - 1, F.lit(0)))
     size = _number(a[2]) if len(a) > 2 else F.length(a[0])
     good = (a[0] != "") & start.isNotNull() & (size.isNotNull() if len(a) > 2 else F.lit(True))
     return F.when(good, F.when(start >= F.length(a[0]), F.lit("")).otherwise(F.substr(a[0], start + 1, F.greatest(size, F.lit(0)))))
