@@ -63,30 +63,56 @@ def retained(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, row, doc_id, at, left, context): retained suffixes with REACH words on both sides of the head, 16 bits each."""
+    """Rows (key, row, doc_id, at, rest, context, more): retained suffixes with REACH words on both sides of the head, 16 bits each.
+
+    Suffixes of one document that agree in all that is compared (periodic texts have many) are one row: the first, with
+    the places of all of them in ``more``.
+    """
     known, around = _Hashes(), np.concatenate((np.arange(-REACH, 0), np.arange(HEAD, HEAD + REACH)))
     for batch in batches:
-        parts: list[list] = [[], [], [], [], []]
+        parts: list[list] = [[], [], [], [], [], []]
         for k, text in enumerate(batch.column(2)):
             words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
             if len(words) < PASSAGE:
                 continue
             hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
             at, heads = retained(hashes)
+            rest = np.minimum(len(words) - HEAD - at, REACH)
             padded = np.zeros(len(words) + 2 * REACH, np.uint16)
             padded[REACH : REACH + len(words)] = (hashes >> np.uint64(48)).astype(np.uint16)
-            for column, x in zip(parts, (heads.view(np.int64), np.full(len(at), k), at, len(words) - HEAD - at, padded[at[:, None] + around + REACH]), strict=True):
+            context = padded[at[:, None] + around + REACH]
+            more: list[bytes | None] = [None] * len(at)
+            if len(np.unique(heads)) < len(heads):
+                alike = np.column_stack((heads, np.minimum(at, REACH).astype(np.uint64), rest.astype(np.uint64), np.ascontiguousarray(context).view(np.uint64)))
+                _, first, which = np.unique(alike, axis=0, return_index=True, return_inverse=True)
+                order, sizes = np.argsort(which.ravel(), kind="stable"), np.bincount(which.ravel())
+                more = [p.astype(np.int32).tobytes() if len(p) > 1 else None for p in np.split(at[order], np.cumsum(sizes)[:-1])]
+                at, heads, rest, context = at[first], heads[first], rest[first], context[first]
+            for column, x in zip(parts, (heads.view(np.int64), np.full(len(at), k), at, rest, context, more), strict=True):
                 column.append(x)
         if parts[0]:
-            key, k, at, left, context = map(np.concatenate, parts)
+            key, k, at, rest, context = map(np.concatenate, parts[:5])
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REACH), len(key), [None, pa.py_buffer(np.ascontiguousarray(context))]).cast(pa.binary())
-            take = pa.array(k)
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(np.minimum(left, REACH).astype(np.int32)), raw], ["key", "row", "doc_id", "at", "rest", "context"])
+            take, more = pa.array(k), pa.array(sum(parts[5], []), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(rest.astype(np.int32)), raw, more], ["key", "row", "doc_id", "at", "rest", "context", "more"])
+
+
+def _spread(row: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray, more: np.ndarray, ids: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
+    """Stretches for all places of the suffixes; those of one suffix that touch are joined."""
+    out: list[list] = [[row], [ids], [start], [stop], [other]]
+    for k in np.flatnonzero(np.array([m is not None for m in more], bool)):
+        by = np.frombuffer(more[k], np.int32).astype(np.int64) - at[k]
+        a, b = start[k] + by, stop[k] + by
+        new = np.concatenate(([True], a[1:] > b[:-1]))
+        a, b = a[new], b[np.append(np.flatnonzero(new)[1:], len(b)) - 1]
+        for column, x in zip(out, (np.full(len(a), row[k]), np.full(len(a), ids[k]), a, b, np.full(len(a), other[k])), strict=True):
+            column.append(x)
+    return [np.concatenate(x) for x in out]
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over suffixes sorted by key: (row, doc_id, start, stop, other) for what lies in a passage that another row has too."""
-    names = ["key", "row", "doc_id", "at", "rest", "context"]
+    names = ["key", "row", "doc_id", "at", "rest", "context", "more"]
     weights = np.random.default_rng(3).integers(1, 1 << 63, 2 * REACH, np.uint64) * np.uint64(2) + np.uint64(1)
     for piece, cuts in runs_of(batches, ["key"], names):
         lengths = np.diff(cuts)
@@ -118,8 +144,9 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             other[hit] = np.where(other[hit] < 0, partner, other[hit])
         hit = np.flatnonzero(last >= 0)
         if len(hit):
-            start, stop = at[hit] - (REACH - first[hit]), at[hit] + HEAD + last[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(row[hit]), pa.array(ids[hit], pa.int64()), pa.array(start.astype(np.int64)), pa.array(stop.astype(np.int64)), pa.array(ids[other[hit]], pa.int64())], ["row", "doc_id", "start", "stop", "other"])
+            start, stop = at[hit].astype(np.int64) - (REACH - first[hit]), at[hit].astype(np.int64) + HEAD + last[hit]
+            found = _spread(row[hit], start, stop, at[hit], piece["more"][pick][hit], ids[hit], ids[other[hit]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["row", "doc_id", "start", "stop", "other"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -132,7 +159,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     none = F.lit(-(1 << 63))  # stands for a null id on the way through arrays
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), "text")
-    suffixes = own.mapInArrow(_suffixes, "key long, row long, doc_id long, at int, rest int, context binary")
+    suffixes = own.mapInArrow(_suffixes, "key long, row long, doc_id long, at int, rest int, context binary, more binary")
     found = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "row long, doc_id long, start long, stop long, other long")
     # Stretches of one document that touch or overlap become one.
     line = Window.partitionBy("row").orderBy("start", "stop")
