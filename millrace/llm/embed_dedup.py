@@ -159,7 +159,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     basis = np.ascontiguousarray(vectors_[:, ::-1])
     lead = min(LEADING, width)
     stages = stages_of(values[::-1])
-    cells = 1 << max(0, min(CELLS, len(sample) // 16, 3 * total // block).bit_length() - 1)
+    # Few vectors still make a hundred tiles or so, to spread over the tasks.
+    cells = 1 << max(0, min(CELLS, len(sample) // 16, max(3 * total // block, min(16, total // 640))).bit_length() - 1)
     # Single-precision input travels as it is; its values are the same in double precision.
     kind = np.float32 if "array<float>" == vectors.schema["embedding"].dataType.simpleString() else np.float64
     cuts = _tree(units @ basis[:, :lead], cells)
