@@ -45,13 +45,15 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[str], most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray | None]]:
     """Cuts sorted batches into pieces that never split a run of equal keys.
 
     Yields the columns of the piece as arrays, and the offsets where its runs start (with the end appended). Memory
-    holds one batch and the longest run.
+    holds one batch and the longest run. With ``most``, a run that grows past so many rows is given in pieces of its own,
+    with None for the offsets, and memory holds about that many rows.
     """
     held: dict[str, list[np.ndarray]] = {c: [] for c in columns}
+    long: dict[str, object] | None = None
 
     def give(parts: dict[str, np.ndarray]):
         n = len(parts[columns[0]])
@@ -65,7 +67,14 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[st
         if not batch.num_rows:
             continue
         new = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns}
-        last = np.zeros(batch.num_rows, bool)
+        if long is not None:
+            same = int(np.logical_and.reduce([new[k] == long[k] for k in keys]).sum())
+            if same:
+                yield {c: new[c][:same] for c in columns}, None
+            if same == batch.num_rows:
+                continue
+            new, long = {c: new[c][same:] for c in columns}, None
+        last = np.zeros(len(new[columns[0]]), bool)
         for k in keys:
             last |= new[k] != new[k][-1]
         cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
@@ -81,6 +90,10 @@ def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[st
             yield give({c: new[c][:cut] for c in columns})
         for c in columns:
             held[c].append(new[c][cut:])
+        if most and sum(map(len, held[columns[0]])) > most:
+            long = {k: held[k][-1][-1] for k in keys}
+            yield {c: np.concatenate(held[c]) for c in columns}, None
+            held = {c: [] for c in columns}
     if held[columns[0]]:
         yield give({c: np.concatenate(held[c]) for c in columns})
 

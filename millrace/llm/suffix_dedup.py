@@ -19,12 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import runs_of
+from millrace.llm.common import materialise, runs_of
 
 HEAD, WINDOW = 26, 25
+#: Suffixes of one head that a task compares in memory; those of a head with more are compared by an aggregation.
+MOST_OF_HEAD = 1 << 18
 PASSAGE, REACH = HEAD + WINDOW - 1, WINDOW - 1
 _BASE = 0x9E3779B97F4A7C15
-_M = (1 << 64) - 1
+#: Odd weights of the words around a head; sums of weighted words stand for them.
+_WEIGHTS = np.random.default_rng(3).integers(1, 1 << 63, 2 * REACH, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Hashes(dict):
@@ -83,9 +86,9 @@ def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             context = padded[at[:, None] + around + REACH]
             more: list[bytes | None] = [None] * len(at)
             if len(np.unique(heads)) < len(heads):
-                alike = np.column_stack((heads, np.minimum(at, REACH).astype(np.uint64), rest.astype(np.uint64), np.ascontiguousarray(context).view(np.uint64)))
-                _, first, which = np.unique(alike, axis=0, return_index=True, return_inverse=True)
-                order, sizes = np.argsort(which.ravel(), kind="stable"), np.bincount(which.ravel())
+                alike = heads + (context * _WEIGHTS).sum(axis=1, dtype=np.uint64) + (np.minimum(at, REACH) * 64 + rest).astype(np.uint64) * np.uint64(_BASE)
+                _, first, which = np.unique(alike, return_index=True, return_inverse=True)
+                order, sizes = np.argsort(which, kind="stable"), np.bincount(which)
                 more = [p.astype(np.int32).tobytes() if len(p) > 1 else None for p in np.split(at[order], np.cumsum(sizes)[:-1])]
                 at, heads, rest, context = at[first], heads[first], rest[first], context[first]
             for column, x in zip(parts, (heads.view(np.int64), np.full(len(at), k), at, rest, context, more), strict=True):
@@ -110,11 +113,32 @@ def _spread(row: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray
     return [np.concatenate(x) for x in out]
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over suffixes sorted by key: (row, doc_id, start, stop, other) for what lies in a passage that another row has too."""
+def _repeated(most: int):
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compared(batches, most)
+
+    return rows
+
+
+def _compared(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Over suffixes sorted by key: (row, doc_id, start, stop, other, passage) for what lies in a passage that another row has
+    too, with another document. Of a head with too many suffixes come all passages, with their hash and no other document."""
     names = ["key", "row", "doc_id", "at", "rest", "context", "more"]
-    weights = np.random.default_rng(3).integers(1, 1 << 63, 2 * REACH, np.uint64) * np.uint64(2) + np.uint64(1)
-    for piece, cuts in runs_of(batches, ["key"], names):
+    out = ["row", "doc_id", "start", "stop", "other", "passage"]
+    for piece, cuts in runs_of(batches, ["key"], names, most):
+        if cuts is None:
+            for step in range(0, len(piece["key"]), 1 << 14):
+                own = {c: piece[c][step : step + (1 << 14)] for c in names}
+                at, rest, ids = own["at"].astype(np.int64), own["rest"], own["doc_id"]
+                context = np.frombuffer(b"".join(own["context"].tolist()), np.uint16).reshape(len(at), 2 * REACH)
+                sums = np.concatenate((np.zeros((len(at), 1), np.uint64), np.cumsum(context * _WEIGHTS, axis=1, dtype=np.uint64)), axis=1)
+                for j in range(REACH + 1):
+                    k = np.flatnonzero((REACH - j <= at) & (j <= rest))
+                    passage = (sums[k, j + REACH] - sums[k, j]) * np.uint64(_BASE) ^ own["key"][k].view(np.uint64) * np.uint64(2 * j + 3)
+                    found = _spread(own["row"][k], at[k] - (REACH - j), at[k] + HEAD + j, at[k], own["more"][k], ids[k], passage.view(np.int64))
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, found[:4]), pa.nulls(len(found[0]), pa.int64()), pa.array(found[4])], out)
+            continue
         lengths = np.diff(cuts)
         pick = np.flatnonzero(np.repeat(lengths > 1, lengths))
         if not len(pick):
@@ -122,7 +146,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = np.repeat(np.arange(len(lengths)), lengths)[pick]
         row, at, rest, ids = (piece[c][pick] for c in ("row", "at", "rest", "doc_id"))
         context = np.frombuffer(b"".join(piece["context"][pick].tolist()), np.uint16).reshape(len(pick), 2 * REACH)
-        sums = np.concatenate((np.zeros((len(pick), 1), np.uint64), np.cumsum(context * weights, axis=1, dtype=np.uint64)), axis=1)
+        sums = np.concatenate((np.zeros((len(pick), 1), np.uint64), np.cumsum(context * _WEIGHTS, axis=1, dtype=np.uint64)), axis=1)
         first, last = np.full(len(pick), REACH + 1), np.full(len(pick), -1)
         other = np.full(len(pick), -1)
         for j in range(REACH + 1):  # a passage with j words after the head, the others before it
@@ -146,10 +170,10 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(hit):
             start, stop = at[hit].astype(np.int64) - (REACH - first[hit]), at[hit].astype(np.int64) + HEAD + last[hit]
             found = _spread(row[hit], start, stop, at[hit], piece["more"][pick][hit], ids[hit], ids[other[hit]])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["row", "doc_id", "start", "stop", "other"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, found), pa.nulls(len(found[0]), pa.int64())], out)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, most: int = MOST_OF_HEAD) -> DataFrame:
     """Of (doc_id, text): (doc_id, start, stop, n_words, other_doc) of every stretch made of passages that another document has.
 
     Words are what ASCII white space separates; start and stop (exclusive) count words from 0. other_doc is a document
@@ -160,7 +184,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     none = F.lit(-(1 << 63))  # stands for a null id on the way through arrays
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("doc_id"), "text")
     suffixes = own.mapInArrow(_suffixes, "key long, row long, doc_id long, at int, rest int, context binary, more binary")
-    found = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated, "row long, doc_id long, start long, stop long, other long")
+    found = suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(_repeated(most), "row long, doc_id long, start long, stop long, other long, passage long")
+    found = materialise(found, "suffix-found")
+    # Passages of crowded heads: each is pre-aggregated where it lies, so a third of all rows can share one.
+    crowded = found.where("passage is not null").drop("other")
+    one = F.struct("row", "doc_id")
+    shared = crowded.groupBy("passage").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.row < hi.row")
+    rest = crowded.join(materialise(shared, "suffix-shared"), "passage")
+    rest = rest.select("row", "doc_id", "start", "stop", F.when(F.col("row") == F.col("lo.row"), F.col("hi.doc_id")).otherwise(F.col("lo.doc_id")).alias("other"))
+    found = found.where("passage is null").drop("passage").unionByName(rest)
     # Stretches of one document that touch or overlap become one.
     line = Window.partitionBy("row").orderBy("start", "stop")
     reached = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
