@@ -50,6 +50,10 @@ def test_runs_are_never_split():
             assert len(set(parts["k"][a:b].tolist())) == 1
             seen.append((int(parts["k"][a]), parts["v"][a:b].tolist()))
     assert [k for k, _ in seen] == sorted(set(keys)) and sum((v for _, v in seen), []) == list(range(400))
+    given = list(runs_of(table.to_batches(max_chunksize=7), ["k"], ["k", "v"], 9))
+    assert np.concatenate([p["v"] for p, _ in given]).tolist() == list(range(400)) and any(at is None for _, at in given)
+    whole = {k for p, at in given if at is not None for k in p["k"].tolist()}
+    assert whole.isdisjoint({k for p, at in given if at is None for k in p["k"].tolist()})
 
 
 # Byte-level BPE.
@@ -181,10 +185,14 @@ def test_repeated_passages(spark):
     extra += [(22, f"{prose(40, 26)} {short} {prose(40, 27)}", None, None, 0), (23, f"{prose(40, 28)} {short} {prose(40, 29)}", None, None, 0)]
     twice = prose(60, 30)
     extra += [(24, f"{twice} {prose(20, 31)} {twice}", None, None, 0)]
+    periodic = [(25, "p q " * 200 + prose(30, 32), None, None, 0), (26, prose(15, 33) + " p q" * 90 + " r" + " p q" * 40, None, None, 0), (27, "s t u " * 100, None, None, 0)]
+    extra += periodic
     df = documents(spark, extra)
-    got = suffix_dedup.repeated_passages(df).collect()
+    for most in (1, 7, suffix_dedup.MOST_OF_HEAD):
+        got = suffix_dedup.repeated_passages(df, most).collect()
+        assert same_rows([(r.doc_id, r.start, r.stop) for r in got], brute_stretches(df.collect())), most
     assert same_rows([(r.doc_id, r.start, r.stop) for r in got], brute_stretches(df.collect()))
-    assert {r.doc_id for r in got} == {0, 1, 2, 20, 21} and {(20, 21), (21, 20)} <= {(r.doc_id, r.other_doc) for r in got}
+    assert {r.doc_id for r in got} == {0, 1, 2, 20, 21, 25, 26} and {(20, 21), (21, 20)} <= {(r.doc_id, r.other_doc) for r in got}
     assert all(r.n_words == r.stop - r.start for r in got)
     assert suffix_dedup.repeated_passages(empty(spark)).count() == 0
 
