@@ -173,6 +173,9 @@ _sql("except_sql", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey
 _text("cte_let", "with busy as (orders |> group_by(orders.o_custkey) |> having(fn(g) => count(*) > 12) |> select(orders.o_custkey))\ncustomer |> join(busy, on = customer.c_custkey = busy.o_custkey) |> select(c_custkey, c_name)", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 12)")
 _sql("recursive_cte_sql", "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 20) SELECT i, i * i AS square FROM n")
 _sql("natural_using_sql", "SELECT n_name, x.c FROM nation JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey) x USING (n_nationkey)")
+_sql("natural_join_sql", "SELECT n_nationkey, n_name, total FROM nation NATURAL JOIN (SELECT s_nationkey AS n_nationkey, count(*) AS total FROM supplier GROUP BY s_nationkey) x")
+_sql("within_group_sql", "SELECT p_brand, percentile_cont(0.5) WITHIN GROUP (ORDER BY p_size) AS middle FROM part GROUP BY p_brand")
+_sql("values_sql", "SELECT v.k, v.name, n.n_name FROM (VALUES (1, 'one'), (2, 'two')) AS v(k, name) LEFT JOIN nation n ON n.n_nationkey = v.k")
 _sql("lateral_sql", "SELECT n.n_name, s.top FROM nation n, LATERAL (SELECT max(s_suppkey) AS top FROM supplier WHERE s_nationkey = n.n_nationkey) s")
 _sql("params_sql", "SELECT c_custkey FROM customer WHERE c_nationkey = @nation AND c_acctbal > $least AND c_mktsegment <> ':x'", "SELECT c_custkey FROM customer WHERE c_nationkey = 7 AND c_acctbal > 100", {"nation": 7, "least": 100})
 
@@ -188,6 +191,9 @@ _text(
     "orders |> select(o_orderkey, extract(year, o_orderdate) as y, extract('month', o_orderdate) as m, day(o_orderdate) as d, date_trunc('month', o_orderdate) as t, year(o_orderdate) as y2)",
     "SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS INTEGER) AS y, CAST(extract(month FROM o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, date_trunc('month', o_orderdate) AS t, CAST(year(o_orderdate) AS INTEGER) AS y2 FROM orders",
 )
+_text("date_add", "orders |> select(o_orderkey, date_add('day', 40, o_orderdate) as later, date_add('month', 2, o_orderdate) as months)", "SELECT o_orderkey, o_orderdate + INTERVAL 40 DAY AS later, o_orderdate + INTERVAL 2 MONTH AS months FROM orders")
+_text("nested_calls", "part |> filter(fn(p) => length(upper(trim(p.p_name))) > 5 and abs(p.p_size - 25) < 10) |> select(p_partkey, round(sqrt(power(p_size, 2)), 0) as size)", "SELECT p_partkey, round(sqrt(power(p_size, 2)), 0) AS size FROM part WHERE length(upper(trim(p_name))) > 5 AND abs(p_size - 25) < 10")
+_text("first_last", "orders |> select(o_custkey, first(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as opening, last(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as latest)", "SELECT o_custkey, first(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS opening, last(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS latest FROM orders")
 _text("null_funcs", "nation |> select(n_nationkey, coalesce(nullif(n_regionkey, 2), 99) as a, isnull(nullif(n_regionkey, 1)) as b, isnotnull(n_name) as c)", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 2), 99) AS a, nullif(n_regionkey, 1) IS NULL AS b, n_name IS NOT NULL AS c FROM nation")
 
 # The fluent API.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from millrace.operators import dml, vectors
 from millrace.operators.grouping import Entity, nest
 from millrace.plans.engine import Engine
 from millrace.report.report import Runner, load
-from millrace.schema.model import Policy
+from millrace.schema import defaults
+from millrace.schema.diff import diff
+from millrace.schema.model import Policy, Schema, Table, of_struct
 from millrace.schema.security import Who, check_write, secure
 from millrace.streaming.pull import sessions, windowed_counts
 
@@ -301,3 +304,38 @@ _add(
     numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM gaps)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM numbered GROUP BY user_id, g""",
 )
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tumbling windows once more, from a stream that ends when it has caught up."""
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern the path may be one file as well as a folder of files.
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("value", F.round(F.col("value") * 100, 0))
+    name = f"tumbling_{uuid.uuid4().hex}"
+    windowed_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_add("events_tumbling_stream", _streamed, ORACLE_SQL["events_tumbling"])
+
+# Schemas.
+_DECLARED = Table("supplier_card", ()).column("s_suppkey", "BigInt").column("s_name", "VarChar(80)").column("grade", "Int", default="3").column("note", "Text", default="upper('none')").column("s_acctbal", "Decimal(12,2)")
+_add("default_fill", lambda s, d: defaults.fill(_read(s, d, "supplier").select("s_suppkey", "s_name"), _DECLARED).drop("s_acctbal"), "SELECT s_suppkey, s_name, 3 AS grade, 'NONE' AS note FROM supplier")
+
+
+def _function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = defaults.function_body("case when balance < 0 then 'debt' when balance > 5000 then 'rich' else 'fair' end")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION standing(balance DOUBLE) RETURNS STRING RETURN {body}")
+    return Engine(spark, sf_dir).query("customer |> select(c_custkey, standing(c_acctbal) as standing)")
+
+
+_add("function_body", _function, "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 5000 THEN 'rich' ELSE 'fair' END AS standing FROM customer")
+
+
+def _schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = Schema("live", tuple(of_struct(t, spark.read.parquet(f"{sf_dir}/{t}.parquet").schema) for t in ("nation", "region")))
+    wanted = Schema("wanted", (Table("Nation", (*live.tables[0].columns[:2], _DECLARED.columns[2])), _DECLARED))
+    return spark.createDataFrame([(o.kind, o.table) for o in diff(live, wanted, destructive=True)], "kind string, table_name string")
+
+
+_add("schema_diff", _schema_diff, "SELECT * FROM (VALUES ('add_column', 'Nation'), ('create_table', 'supplier_card'), ('drop_column', 'Nation'), ('drop_table', 'region')) AS v(kind, table_name)")
