@@ -96,7 +96,7 @@ def _suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts[0]:
             key, k, at, rest, context = map(np.concatenate, parts[:5])
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REACH), len(key), [None, pa.py_buffer(np.ascontiguousarray(context))]).cast(pa.binary())
-            take, more = pa.array(k), pa.array(sum(parts[5], []), pa.binary())
+            take, more = pa.array(k), pa.array([m for own in parts[5] for m in own], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32)), pa.array(rest.astype(np.int32)), raw, more], ["key", "row", "doc_id", "at", "rest", "context", "more"])
 
 
