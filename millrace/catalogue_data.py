@@ -69,9 +69,13 @@ _on_log("echo_filter", lambda d: log.without_echo(d, "origin2"), "SELECT * FROM
 
 
 def _pull(d: DataFrame) -> DataFrame:
-    """Pulls everything in batches; a row per batch that was applied."""
+    """Pulls the changes up to version 900 in batches; a row per batch that was applied. pull_whole_log pulls everything."""
+    return _pulled(d.where("version <= 900"), 200)
+
+
+def _pulled(d: DataFrame, size: int) -> DataFrame:
     session, seen = coordinator.Session("origin1"), []
-    coordinator.pull(session, d.where("version <= 900"), lambda b: seen.append((len(seen) + 1, b.from_version, b.to_version, b.has_more)), 200)
+    coordinator.pull(session, d, lambda b: seen.append((len(seen) + 1, b.from_version, b.to_version, b.has_more)), size)
     return d.sparkSession.createDataFrame(seen, "batch int, from_version long, to_version long, has_more boolean")
 
 
@@ -79,6 +83,12 @@ _on_log("pull_batches", _pull, """
 , numbered AS (SELECT version, (row_number() OVER (ORDER BY version) - 1) // 200 AS b, count(*) OVER () AS n FROM log WHERE version > 0 AND version <= 900)
 , cut AS (SELECT b, max(version) AS to_version, (b + 1) * 200 < any_value(n) AS has_more FROM numbered GROUP BY b)
 SELECT CAST(b + 1 AS INTEGER) AS batch, coalesce(lag(to_version) OVER (ORDER BY b), 0) AS from_version, to_version, has_more FROM cut""".strip())
+#: Changes in a batch of pull_whole_log; each batch is a few jobs, so their number grows with the log over this size.
+WHOLE_BATCH = 10_000
+_on_log("pull_whole_log", lambda d: _pulled(d, WHOLE_BATCH), f"""
+, numbered AS (SELECT version, (row_number() OVER (ORDER BY version) - 1) // {WHOLE_BATCH} AS b, count(*) OVER () AS n FROM log WHERE version > 0)
+, cut AS (SELECT b, max(version) AS to_version, (b + 1) * {WHOLE_BATCH} < any_value(n) AS has_more FROM numbered GROUP BY b)
+SELECT CAST(b + 1 AS INTEGER) AS batch, coalesce(lag(to_version) OVER (ORDER BY b), 0) AS from_version, to_version, has_more FROM cut""".strip())
 _on_log("push_own_changes", lambda d: d.where("origin = 'origin3'"), "SELECT * FROM log WHERE origin = 'origin3'")
 
 # Conflicts: last changes of even and of odd versions stand for two replicas.
