@@ -101,6 +101,7 @@ ORACLE_SQL["filter_udf_predicate"] = "SELECT c_custkey FROM customer WHERE c_cus
 _text("join_inner", "customer |> join(nation, on = customer.c_nationkey = nation.n_nationkey) |> select(c_custkey, n_name)", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 _text("join_left", "customer |> left_join(orders, on = customer.c_custkey = orders.o_custkey and orders.o_orderstatus = 'P') |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
 _text("join_right", "orders |> right_join(customer, on = orders.o_custkey = customer.c_custkey) |> filter(fn(r) => r.c_custkey < 100) |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey WHERE c_custkey < 100")
+_text("join_right_all", "orders |> right_join(customer, on = orders.o_custkey = customer.c_custkey) |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
 _text("join_full", "supplier |> full_join(customer, on = supplier.s_suppkey = customer.c_custkey and supplier.s_nationkey = customer.c_nationkey) |> select(s_suppkey, c_custkey)", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey")
 _text("join_cross", "region |> cross_join(nation) |> select(r_name, n_name)", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _text("join_chain", "region |> join(nation, on = region.r_regionkey = nation.n_regionkey) |> join(supplier, on = nation.n_nationkey = supplier.s_nationkey) |> select(r_name, n_name, s_name)", "SELECT r_name, n_name, s_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey")

@@ -169,6 +169,10 @@ _on_log("mapping_state", lambda d: tracking.advance(d.sparkSession.createDataFra
 _CLIENTS_SQL = "SELECT c_name AS origin_id, CAST(c_custkey * 3 AS BIGINT) AS last_sync_version, '2024-' || CASE WHEN c_custkey % 9 + 1 < 10 THEN '0' ELSE '' END || CAST(c_custkey % 9 + 1 AS STRING) || '-15T00:00:00Z' AS last_sync_timestamp, '2024-01-01T00:00:00Z' AS created_at FROM customer WHERE c_custkey > 50"
 _add("tombstone_safe_version", lambda s, d: s.createDataFrame([(clients.safe_version(Engine(s, d).sql(_CLIENTS_SQL)),)], "safe long"), "SELECT min(c_custkey) * 3 AS safe FROM customer WHERE c_custkey > 50")
 _add("stale_clients", lambda s, d: clients.stale(Engine(s, d).sql(_CLIENTS_SQL), "2024-09-20T12:00:00Z"), f"WITH c AS ({_CLIENTS_SQL}) SELECT * FROM c WHERE CAST(substr(last_sync_timestamp, 1, 19) AS TIMESTAMP) < TIMESTAMP '2024-09-20 12:00:00' - INTERVAL 90 DAY")
+# The same of all customers; versions are shifted, so that the least isn't trivial.
+_ALL_CLIENTS_SQL = _CLIENTS_SQL.replace("c_custkey * 3", "c_custkey * 3 + 150").removesuffix(" WHERE c_custkey > 50")
+_add("tombstone_safe_version_all", lambda s, d: s.createDataFrame([(clients.safe_version(Engine(s, d).sql(_ALL_CLIENTS_SQL)),)], "safe long"), "SELECT CAST(min(c_custkey) * 3 + 150 AS BIGINT) AS safe FROM customer")
+_add("stale_clients_all", lambda s, d: clients.stale(Engine(s, d).sql(_ALL_CLIENTS_SQL), "2024-09-20T12:00:00Z"), f"WITH c AS ({_ALL_CLIENTS_SQL}) SELECT * FROM c WHERE CAST(substr(last_sync_timestamp, 1, 19) AS TIMESTAMP) < TIMESTAMP '2024-09-20 12:00:00' - INTERVAL 90 DAY")
 _on_log("tombstone_purge", lambda d: clients.purge(d, 700), "SELECT * FROM log WHERE NOT (operation = 'delete' AND version <= 700)")
 
 
