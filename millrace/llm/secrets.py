@@ -1,7 +1,7 @@
 """Secret scans: candidate tokens by pattern, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of at least twelve token characters with a digit in it. The forest sees its length, its changes of
-character class, its make-up, how much of it dictionary words cover, whether it stands in a path, and the words around
+A candidate is a run of at least twelve token characters with a digit in it, a run of at least six characters without
+blanks and quotes after a secret word, or one after any assignment. The forest sees its length, its changes of character class, its make-up, how much of it dictionary words cover, whether it stands in a path, and the words around
 it. It is trained on labelled findings and becomes a sum of nested conditions, so scoring stays in the query's plan.
 """
 
@@ -12,7 +12,6 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}+"
 REPLACEMENT = "[SECRET]"
 #: How far a candidate's surroundings are read, in characters before and after.
 BEFORE, AFTER = 64, 32
@@ -30,8 +29,25 @@ DICTIONARY = [
     "task", "temp", "test", "text", "time", "title", "token", "tool", "type", "update", "upload", "user", "utils", "value", "version", "view", "word", "work", "your",
 ]
 
+# Runs of token characters; a '=' belongs to one only as padding, not before a value.
+_TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:AKIA|ASIA)[0-9A-Z]{16})[A-Za-z0-9+/_-]{12,}+(?:={1,2}+(?![A-Za-z0-9+/_\"'=-]))?+"
+_WORDS = "(?i:" + "|".join(SECRET_WORDS) + ")"
+_KNOWN = r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]|xox[abprs]-|AIza)"
+_STOP = r"[.):\]}>]{1,3}+(?:[\s\"',;]|$)"
+#: The value after a secret word, up to a further name=value, a known form or the punctuation at its end.
+_SECRET_VALUE = (
+    rf"(?<=[\s:=\"'>])(?<={_WORDS}[\"'\]]{{0,2}}(?:\s{{0,3}}(?::=|=>|==|[=:])\s{{0,3}}|\s{{1,3}}(?i:is\s{{1,3}})?)[\"']?)(?![=:])(?!(?i:bearer|basic|is)\s)"
+    rf"[^\s\"',;](?:(?!{_STOP}|[&?][A-Za-z_-]{{1,40}}+=|{_KNOWN})[^\s\"',;]){{5,}}+"
+)
+#: The value after any other assignment, up to a run of token characters.
+_VALUE = rf"(?<=[=:]\s{{0,3}}[\"']?)(?!//)(?:(?!{_STOP}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{12}})[^\s\"'&?=:;,<>(){{}}\[\]]){{6,}}+"
+CANDIDATE = f"{_SECRET_VALUE}|{_TOKEN}|{_VALUE}"
+
+# Words of passwords that people choose.
+CHOSEN = ["correct", "horse", "battery", "staple", "purple", "tiger", "monkey", "dragon", "hunter", "summer", "winter", "orange", "sunny", "river", "castle", "guitar", "rocket", "coffee", "silver", "falcon", "pepper", "cookie", "shadow", "magic"]
+
 _WORD_SIDE = r"(?i)(?<![A-Za-z])(?:{})(?![A-Za-z])"
-FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "dictionary", "separators", "path", "assigned", "secret_words", "plain_words", "known_form")
+FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "dictionary", "separators", "path", "assigned", "secret_words", "plain_words", "known_form", "symbols", "named", "name")
 
 
 def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -58,6 +74,9 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "secret_words": count(_WORD_SIDE.format("|".join(SECRET_WORDS)), near).cast("double"),
         "plain_words": (count(_WORD_SIDE.format("|".join(PLAIN_WORDS)), F.right(before, F.lit(24))) + count(_WORD_SIDE.format("|".join(PLAIN_WORDS)), F.left(after, F.lit(12)))).cast("double"),
         "known_form": F.when(c.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk-[A-Za-z0-9_-]{20,}$|^xox[abprs]-|^AIza[0-9A-Za-z_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}"), 1.0).otherwise(0.0),
+        "symbols": count(r"[^A-Za-z0-9+/_=-]") / size,
+        "named": F.when(before.rlike(rf"""(?<![A-Za-z]){_WORDS}(?:[_-][A-Za-z0-9_-]{{0,16}})?["'\]]{{0,2}}\s*(?::=|=>|==|[=:])\s*["']?$"""), 1.0).otherwise(0.0),
+        "name": F.when(after.rlike(r"""^["']?\s*[=:]|^\("""), 1.0).otherwise(0.0),
     }
 
 
@@ -73,6 +92,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     upper = F.substr(F.regexp_replace(F.upper(b64), "[^A-Z0-9]", ""), F.lit(1), F.lit(16))
     number = F.concat(F.lit("1"), F.regexp_replace(F.concat(sha[0], sha[1]), "[a-f]", ""))
     tail = lambda x: F.concat(x, F.lit("7"))  # noqa: E731  a candidate has a digit
+    own_word = [F.get(F.lit(CHOSEN), F.pmod(F.xxhash64(F.lit(30 + k), "id"), F.lit(len(CHOSEN))).cast("int")) for k in range(3)]
+    year = F.pmod(F.xxhash64(F.lit(40), "id"), F.lit(2100)).cast("string")
+    letters = F.substr(F.regexp_replace(b64, "[^A-Za-z]", ""), F.lit(1), (F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(8)) + 7).cast("int"))
+    mark = lambda k: pick(["&", "!", ".", "@", "#", "$", "%", "*"], k)
+    chosen = ["password=", 'password = "', "passwd: ", "secret: ", "pwd=", "DB_PASSWORD=", "passphrase: '", "db_password: "]
     kinds = [
         (1, pick(["password=", "passwd: ", "pwd=", 'password = "', "password: '", "secret=", "passphrase="], 1), F.substr(sha[0], F.lit(1), some)),
         (1, pick(['token = "', "token: ", "auth_token=", 'secret_key = "', "credential: "], 2), F.substr(sha[0], F.lit(1), F.lit(40))),
@@ -92,10 +116,22 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, pick(["", "the ", "and "], 16), F.concat(word[0], word[1], word[2], F.pmod(F.col("id"), F.lit(10)))),
         (0, pick(["", "to ", "from "], 17), F.concat(word[0], F.lit("-"), word[1], F.pmod(F.col("id"), F.lit(10)))),
         (0, pick(["password=", "token=", "key: "], 18), F.concat(F.repeat(F.lit("x"), 12), F.pmod(F.col("id"), F.lit(10)))),
+        (1, pick(chosen, 42), F.concat(own_word[0], F.pmod(F.col("id"), F.lit(10)), F.when(F.col("id") % 4 < 2, F.substr(own_word[1], F.lit(1), F.lit(4))).otherwise(pick(["pass", "word", "page", "user", "home"], 65)))),
+        (1, pick(chosen, 43), F.concat_ws("-", *own_word)),
+        (1, pick(chosen, 44), F.concat(F.initcap(F.translate(own_word[0], "aoe", "@03")), mark(45), F.initcap(F.when(F.col("id") % 4 < 2, own_word[1]).otherwise(word[3])), mark(46), F.substr(year, F.lit(1), (F.pmod(F.xxhash64(F.lit(66), "id"), F.lit(4)) + 1).cast("int")))),
+        (1, pick(chosen, 47), F.concat(F.translate(F.initcap(own_word[0]), "oae", "04@"), F.substr(sha[1], F.lit(1), F.lit(3)), mark(48), year)),
+        (1, pick(chosen + ["token=", "api_key: ", "client_secret="], 49), letters),
+        (1, pick(["API_KEY_2024X=", "AWS_S3_SECRET_KEY=", "TOKEN_V2_PROD1=", "secret_key_2 = '", "S3_ACCESS_KEY_01: "], 50), tail(F.substr(b64, F.lit(1), short))),
+        (0, pick(["HOST=", "note: ", "name: ", "level=", 'title = "', "as follows: ", "type="], 51), F.concat(pick(CHOSEN, 52), F.substr(word[0], F.lit(1), F.lit(5)))),
+        (0, pick(["file=", "host: ", 'name = "', "result: ", "at="], 53), F.concat(own_word[0], F.lit("."), word[0], F.when(F.col("id") % 2 == 0, F.lit("_2")).otherwise(F.lit("")))),
+        (0, pick(["key ", "token ", "secret ", "the password is ", "password ", "auth "], 54), F.concat(pick(["re", "un", "over", "inter"], 55), pick(CHOSEN + DICTIONARY, 56))),
+        (0, pick(chosen, 57), pick(["${DB_PASSWORD}", "<password>", "********", "<your-password>", "your_password", "{{secret}}", "$PASSWORD", "<secret-value>", "xxxxxxxx", "%(password)s"], 58)),
+        (0, pick(["key=", "token = ", "password = ", "secret: ", "auth="], 59), F.concat(word[0], pick([".", "_", "->"], 60), word[1], pick(["", "()", "[0]"], 61))),
+        (0, pick(["", "export ", "set "], 62), F.concat(pick(["API_KEY_", "SECRET_KEY_", "ACCESS_TOKEN_", "AWS_S3_SECRET_KEY_", "DB_PASSWORD_"], 63), year, pick(["X", "_PROD", "A", ""], 64))),
     ]
     rows = F.array(*[F.struct(F.lit(label).alias("secret"), F.concat(prose, lead).alias("before"), F.coalesce(c, F.lit("")).alias("candidate")) for label, lead, c in kinds])
     own = spark.range(n).select("id", F.get(rows, F.pmod(F.col("id"), F.lit(len(kinds))).cast("int")).alias("f"))
-    after = F.when(F.col("f.before").rlike("\"$"), F.lit('" and ')).when(F.col("f.before").rlike("'$"), F.lit("';\n")).otherwise(pick([" then ", ".\n", ", or ", " "], 19))
+    after = F.when(F.col("f.before").rlike("\"$"), F.lit('" and ')).when(F.col("f.before").rlike("'$"), F.lit("';\n")).when(F.col("f.candidate").rlike("^[A-Z0-9]+_[A-Z0-9_]+$"), F.lit("=")).otherwise(pick([" then ", ".\n", ", or ", " "], 19))
     return own.select(F.col("f.candidate").alias("candidate"), F.col("f.before").alias("before"), after.alias("after"), F.col("f.secret").cast("double").alias("secret"))
 
 
@@ -153,13 +189,20 @@ def redacted(docs: DataFrame, trees: list | None = None) -> DataFrame:
     def score(inputs: Column) -> Column:
         return vote(trees, {k: inputs[k] for k in FEATURES})
 
-    def judged(c: Column, i: Column, parts: Column) -> Column:
-        made = features(c, F.right(F.get(parts, i), F.lit(BEFORE)), F.left(F.get(parts, i + 1), F.lit(AFTER)))
+    def judged(c: Column, i: Column, parts: Column, ends: Column) -> Column:
+        # The text before, earlier candidates included; so many pieces of a candidate and the text before it hold BEFORE characters.
+        earlier = F.transform(F.filter(F.sequence(i - (BEFORE // 6 + 1), i), lambda j: (j >= 0) & (j < i)), lambda j: F.concat(F.get(ends["p"], j), F.get(ends["c"], j)))
+        before = F.right(F.concat(F.array_join(earlier, ""), F.get(ends["p"], i)), F.lit(BEFORE))
+        made = features(c, before, F.left(F.get(parts, i + 1), F.lit(AFTER)))
         # The one-element array binds the features to a name, so that the trees read them and don't make them anew.
         return F.get(F.transform(F.array(F.struct(*[v.cast("double").alias(k) for k, v in made.items()])), score), F.lit(0))
 
+    def ended(x: Column) -> Column:
+        ends = [F.transform(x[k], lambda v: F.right(v, F.lit(BEFORE))).alias(k) for k in "cp"]
+        return F.struct(x["c"].alias("c"), x["p"].alias("p"), F.struct(*ends).alias("ends"))
+
     def scanned(x: Column) -> Column:
-        scores = F.transform(x["c"], lambda c, i: judged(c, i, x["p"]))
+        scores = F.transform(x["c"], lambda c, i: judged(c, i, x["p"], x["ends"]))
         return F.struct(x["c"].alias("c"), x["p"].alias("p"), scores.alias("s"))
 
     def placed(x: Column) -> Column:
@@ -177,7 +220,7 @@ def redacted(docs: DataFrame, trees: list | None = None) -> DataFrame:
         return F.struct(F.size(x["c"]).cast("bigint").alias("n"), found.alias("found"), F.array_join(kept, "").alias("text"))
 
     cut = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split(text, CANDIDATE, -1).alias("p"))
-    result = F.get(F.transform(F.transform(F.array(cut), scanned), placed), F.lit(0))
+    result = F.get(F.transform(F.transform(F.transform(F.array(cut), ended), scanned), placed), F.lit(0))
     own = docs.withColumn("__scan", F.when(text.rlike(CANDIDATE), result))
     none = F.array().cast("array<struct<start:bigint,end:bigint,score:double>>")
     keep = [F.col(f"`{c}`") if c != "text" else F.coalesce("__scan.text", "text").alias("text") for c in docs.columns if c not in ("n_candidates", "secrets")]

@@ -230,3 +230,22 @@ def test_forest_separates_findings_it_has_not_seen(spark):
     own = secrets.labelled_findings(spark, 6000).select("secret", F.concat("before", "candidate", "after").alias("text"))
     judged = secrets.redacted(own, trees).select("secret", (F.size("secrets") > 0).cast("double").alias("found"))
     assert judged.where("secret <> found").count() <= 0.03 * 6000
+
+
+CHOSEN_SECRETS = ["password=hunter2pass", 'password = "correct-horse-battery"', 'password="Tr0ub4dor&3"', "secret: p@ssw0rd!2024", "password=S3cr3t.Value.99", "API_KEY_2024X=abcdefGHIJ1234567", "AWS_S3_SECRET_KEY=wJalrXUtnFEMIK7MDENGbPxRfi"]
+NO_SECRETS = ["the key moments", "note: something happened", "password: ********", "see https://example.com/index.html", "token = get_token()", "host: castle.example"]
+
+
+def test_chosen_and_named_secrets(spark):
+    rows = [(k, f"and then é {s} the other one") for k, s in enumerate(CHOSEN_SECRETS + NO_SECRETS)]
+    got = {r.doc_id: r.secrets for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.trained(spark)).collect()}
+    for k, text in rows:
+        want = text.removesuffix(" the other one").rstrip('"')
+        start = max(want.rfind(c) for c in "= \"") + 1
+        assert got[k] == (f"{start}:{len(want)}" if k < len(CHOSEN_SECRETS) else ""), text
+
+
+def test_long_runs_after_assignments(spark):
+    texts = ["password=" + x * 50_000 for x in ("a&", ".", "ab.", "=", "a1-", "(x")] + ["x=" + "a" * 100_000, "key=value&" * 5_000]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secrets.trained(spark)).collect()
+    assert len(got) == len(texts)
