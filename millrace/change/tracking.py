@@ -22,7 +22,7 @@ def pending(mapped: DataFrame, config: MappingConfig, state: DataFrame, hashes:
     for m in config.mappings:
         how = F.when(F.col("mapping_id") == m.id, m.tracking.strategy if m.tracking.enabled else "all").otherwise(how)
     own = mapped.withColumn("__how", how).withColumn("source_hash", F.sha2(canonical_text(F.col("payload")), 256))
-    own = own.join(F.broadcast(state.select("mapping_id", F.col("last_synced_version").alias("__last")).limit(10_000)), "mapping_id", "left")
+    own = own.join(state.select("mapping_id", F.col("last_synced_version").alias("__last")), "mapping_id", "left")
     known = hashes.select("mapping_id", F.col("source_pk").alias("pk_value"), F.col("payload_hash").alias("__hash"))
     own = own.join(known, ["mapping_id", "pk_value"], "left")
     newer = F.col("version") > F.coalesce("__last", F.lit(0))
