@@ -74,7 +74,7 @@ def test_bpe_equals_tiktoken(spark):
     for r in df.collect():
         ids = encoding.encode_ordinary(r.text or "")
         raw = np.array(ids, "<u4").tobytes()
-        want.append((r.doc_id, len(ids), sha(raw), sha((r.text or "").encode()), bytearray(raw)))
+        want.append((r.doc_id, len(ids), sha(raw), sha((r.text or "").encode()), raw))
     assert same_rows([tuple(r) for r in got], want)
     assert byte_bpe.encode(empty(spark), *queries.vocabulary()).count() == 0
 
@@ -188,15 +188,39 @@ def test_repeated_passages(spark):
     periodic = [(25, "p q " * 200 + prose(30, 32), None, None, 0), (26, prose(15, 33) + " p q" * 90 + " r" + " p q" * 40, None, None, 0), (27, "s t u " * 100, None, None, 0)]
     extra += periodic
     df = documents(spark, extra)
-    for most in (1, 7, suffix_dedup.MOST_OF_HEAD):
-        got = suffix_dedup.repeated_passages(df, most).collect()
-        assert same_rows([(r.doc_id, r.start, r.stop) for r in got], brute_stretches(df.collect())), most
-    assert same_rows([(r.doc_id, r.start, r.stop) for r in got], brute_stretches(df.collect()))
+    want = brute_stretches(df.collect())
+    seen = []
+    # The ways of comparing must agree: in memory, by aggregation of heads too large, and of heads found crowded beforehand.
+    for most, look, crowd in ((suffix_dedup.MOST_OF_HEAD, 16, 32), (1, 16, 32), (7, 1, 1), (suffix_dedup.MOST_OF_HEAD, 1, 2)):
+        got = suffix_dedup.repeated_passages(df.repartition(1 + most % 5), most, look, crowd).collect()
+        assert same_rows([(r.doc_id, r.start, r.stop) for r in got], want), (most, look, crowd)
+        seen.append(sorted(map(repr, got)))
+    assert all(x == seen[0] for x in seen), "neither the split nor the way shows in the result"
     assert {r.doc_id for r in got} == {0, 1, 2, 20, 21, 25, 26} and {(20, 21), (21, 20)} <= {(r.doc_id, r.other_doc) for r in got}
     assert all(r.n_words == r.stop - r.start for r in got)
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 0), (2, 0), (20, 20), (21, 20), (25, 25), (26, 25)}
     assert suffix_dedup.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_of_documents_without_id(spark):
+    rows = [(None, prose(60, 40), 1), (None, prose(60, 40), 2), (7, prose(60, 41) + " x", 3), (None, "y " + prose(60, 41), 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = {(r.doc_id, r.start, r.stop, r.other_doc, r.component_id) for r in suffix_dedup.repeated_passages(df).collect()}
+    assert got == {(None, 0, 60, None, None), (7, 0, 60, None, 7), (None, 1, 61, 7, 7)}
+
+
+def test_words_with_like_hashes_differ(spark):
+    """Two words whose hashes agree in many bits are still two words."""
+    seen, k = {}, 0
+    while (top := xxhash.xxh64_intdigest(f"w{k}") >> 40) not in seen:
+        seen[top], k = k, k + 1
+    a, b = f"w{seen[top]}", f"w{k}"
+    words = prose(50, 50).split()
+    rows = [(2 * i + n, " ".join([*words[:i], w, *words[i + 1 :]])) for i in range(50) for n, w in enumerate((a, b))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert suffix_dedup.repeated_passages(df).count() == 0
+
+
 # Personal data.
 BASE = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
 
