@@ -13,16 +13,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, DIMS, GRAMS = 1 << 15, 12, (1, 2, 3, 4)
-#: About so many documents of each language are learned from; what else is labelled is not read for the fit.
+#: At most so many documents of each language are learned from; what else is labelled is not read for the fit.
 SAMPLE_PER_LANGUAGE = 300
-#: Lengths of the pieces of text, in characters, that training sees as units; a document gives about PIECES_OF_ONE, spread over it.
+#: Lengths of the pieces of text, in characters, that training sees as units; a document gives about PIECES_OF_ONE, spread
+#: over it, so that the sample is bounded in text too. Prediction reads whole texts.
 PIECE, PIECES_OF_ONE = (240, 60, 20), 9
 #: The share of held-back labelled pieces that calibration lets be rejected.
-REJECTED_SHARE = 0.001
+REJECTED_SHARE = 0.01
+#: No more confidence than this is asked of any text.
+MOST_ASKED = 0.9
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -59,31 +62,32 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # a row of class scores per bucket
     bias: np.ndarray
-    least: float  # predictions under this confidence are rejected
+    least: tuple[float, ...]  # of texts with at least so many letters as a piece has, predictions under this confidence are rejected
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, probability, whether it is rejected; ``und`` with 0 where there are no letters."""
+        """Language, probability, whether it is rejected; ``und`` with 0 where there are no letters or no language was learned."""
         idx = features(text)
-        if idx is None:
+        if idx is None or not self.languages:
             return "und", 0.0, True
         z = (np.bincount(idx, minlength=BUCKETS) @ self.scores / len(idx) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.least)
+        size = sum(len(idx) // len(GRAMS) >= x for x in sorted(PIECE)[1:])
+        return self.languages[best], float(p[best]), bool(p[best] < self.least[size])
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 3, seed: int = 7) -> Model:
-    """Trains on labelled texts. One language: it is always predicted. The result depends on the inputs alone."""
+def fit(texts: list[list[str]], langs: list[str], epochs: int = 3, seed: int = 7) -> Model:
+    """Trains on labelled texts. One language: it is always predicted, and every text without foreign n-grams accepted; no
+    labelled text: a model that knows no language. The result depends on the inputs alone."""
     if not texts:
-        raise ValueError("language identification has no labelled document to learn from")
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), (0.0,) * len(PIECE), 1.0)
     languages = sorted(set(langs))
     pieces: list[tuple[np.ndarray, int]] = []
-    for text, lang in zip(texts, langs, strict=True):
-        starts = range(0, max(len(text), 1), max(PIECE))
-        for j, k in enumerate(range(0, len(starts), max(1, len(starts) // PIECES_OF_ONE))):
-            if (idx := features(text[starts[k] : starts[k] + PIECE[j % len(PIECE)]])) is not None:
+    for text, lang in zip(texts, langs, strict=True):  # a text is the list of its pieces
+        for j, piece in enumerate(text):
+            if (idx := features(piece[: PIECE[j % len(PIECE)]])) is not None:
                 pieces.append((idx, languages.index(lang)))
     if not pieces:
         pieces = [(np.zeros(1, np.uint32), k) for k in range(len(languages))]
@@ -115,7 +119,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, seed: int = 7) -> M
             of = np.repeat(np.arange(len(own)), lengths)
             weight = np.bincount(where * len(own) + of, minlength=len(rows) * len(own)).reshape(len(rows), len(own))
             table[rows] -= rate * 20 * weight @ back
-    model = Model(languages, table @ layer, bias, 0.0, 1.0)
+    model = Model(languages, table @ layer, bias, (0.0,) * len(PIECE), 1.0)
     # Temperature and the least confidence come from the pieces set aside.
     z = np.array([np.bincount(pieces[k][0], minlength=BUCKETS) @ model.scores / len(pieces[k][0]) + bias for k in aside])
     if len(z):
@@ -129,8 +133,13 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, seed: int = 7) -> M
         model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
         s = z / model.temperature
         p = np.exp(s - s.max(axis=1, keepdims=True))
-        best = np.sort((p / p.sum(axis=1, keepdims=True)).max(axis=1))
-        model.least = float(min(best[int(len(best) * REJECTED_SHARE)], 0.9))
+        best, sizes, least = (p / p.sum(axis=1, keepdims=True)).max(axis=1), np.array([len(pieces[k][0]) // len(GRAMS) for k in aside]), 0.0
+        done = []
+        for size in sorted(PIECE):  # longer texts are surer, so more is asked of them
+            own = np.sort(best[sizes >= size * 3 // 4])
+            least = max(least, float(own[int(len(own) * REJECTED_SHARE)]) if len(own) >= 20 else 0.0)
+            done.append(min(least, MOST_ASKED))
+        model.least = tuple(done)
     return model
 
 
@@ -140,17 +149,30 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """Fits on about ``per_language`` documents of each language, chosen by a hash of the id; the sample is bounded."""
-    own = learnable(docs).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        raise ValueError("language identification has no labelled document to learn from")
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(counts.items())])
-    chosen = own.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = sorted(chosen.select("lang", "text").collect())
-    if {r["lang"] for r in rows} != {*counts}:
-        rows = sorted(own.select("lang", "text").where(F.col("lang").isin([x for x in counts if x not in {r["lang"] for r in rows}])).limit(per_language).collect() + rows)
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    """Fits on at most ``per_language`` documents of each language: those with the least hashes of id and text, so that
+    neither the split nor repeated rows decide and no language is left out. No labelled document: see fit().
+
+    One row per language comes to the driver first; labels are taken to be few.
+    """
+    own = learnable(docs).select("lang", "text", F.xxhash64(F.lit(11), "doc_id", "text").alias("h"))
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("h")).collect()
+    # A threshold on the hash first leaves few rows to rank; the least hash passes in any case.
+    passes = F.lit(False)
+    for r in sorted(counts):
+        most = min((3 * per_language << 64) // r["n"], 1 << 64) - (1 << 63) - 1
+        passes = passes | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(max(most, r["h"]))))
+    ranked = own.where(passes).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text")))
+    chosen = ranked.where(F.col("n") <= per_language).select("lang", "h", "n", _pieces_of(F.col("text")).alias("text"))
+    rows = sorted(tuple(r) for r in chosen.collect())
+    return fit([r[3] for r in rows], [r[0] for r in rows])
+
+
+def _pieces_of(text: Column) -> Column:
+    """What fit() reads of a text: equal pieces spread over it, so the driver gets a bounded number of characters."""
+    count = F.ceil(F.char_length(text) / max(PIECE))
+    step = F.greatest(F.lit(1), F.floor(count / PIECES_OF_ONE)).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)).cast("int"), step)
+    return F.transform(starts, lambda k: F.substr(text, k * max(PIECE) + 1, F.lit(max(PIECE))))
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -158,7 +180,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
     One row per input row, repeated rows included. Null texts and texts without letters are ``und``, score 0, rejected;
     any other gets a learned language and is rejected if its confidence is under the calibrated least. Only the whole
-    text decides. An empty table gives no rows. Kept columns named like the results are replaced by them.
+    text decides. A model without languages (nothing was labelled) says ``und``, score 0, rejected, of every text. An empty
+    table gives no rows. Kept columns named like the results are replaced by them.
     """
     new = ["lang_pred", "score", "rejected"]
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in new]
@@ -176,6 +199,6 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return frame.mapInArrow(rows, schema)
 
 
-def held_out() -> object:
+def held_out() -> Column:
     """Whether a row's document may not be learned from; false for a null doc_id."""
     return F.coalesce(F.expr("crc32(encode(cast(doc_id as string), 'UTF-8')) % 3 = 1"), F.lit(False))

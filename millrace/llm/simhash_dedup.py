@@ -62,10 +62,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _linked(radius: int, large: int | None):
-    """Over rows sorted by (t, key): star edges a-b of each bucket's components; rows of large buckets come back as they are."""
+    """Over rows sorted by (t, key): star edges a-b of each bucket's components; rows of large buckets come back as they
+    are, piece by piece as they are read."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts, at in runs_of(batches, ["t", "key"], ["t", "key", "fp"]):
+        for parts, at in runs_of(batches, ["t", "key"], ["t", "key", "fp"], large):
+            if at is None:  # a piece of a large bucket, which memory needn't hold whole
+                yield pa.RecordBatch.from_arrays([pa.array(parts["t"]), pa.array(parts["fp"]), pa.array(parts["key"])], ["t", "a", "b"])
+                continue
             fp, lengths = parts["fp"].view(np.uint64), np.diff(at)
             a, b, again = [], [], []
             two = at[:-1][lengths == 2]

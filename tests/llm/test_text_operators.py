@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import byte_bpe, langid, pii, queries, simhash_dedup, suffix_dedup
 from millrace.llm.common import connected_components, runs_of
@@ -306,8 +307,29 @@ def test_language_id(spark):
     again = langid.train(df)
     assert np.array_equal(model.scores, again.scores) and model.least == again.least
     assert langid.identify(empty(spark), model, ["doc_id"]).count() == 0
-    with pytest.raises(ValueError):
-        langid.train(empty(spark))
+    for nothing in (empty(spark), df.withColumn("lang", F.lit(None).cast("string"))):
+        none = langid.train(nothing)
+        assert none.languages == [] and {(x.lang_pred, x.score, x.rejected) for x in langid.identify(df, none, ["doc_id"]).collect()} == {("und", 0.0, True)}
+    assert langid.identify(empty(spark), none).count() == 0
+
+
+def test_no_language_is_lost_and_the_split_does_not_count(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["kat", "kor"]) for _ in range(9)), "aa") for i in range(400)] + [(500, "zis zon", "bb")] * 200 + [(501, "éva élu", "cc")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = langid.train(df, 5), langid.train(df.repartition(7), 5)
+    assert one.languages == ["aa", "bb", "cc"] and np.array_equal(one.scores, two.scores) and one.least == two.least
+
+
+def test_held_out_accuracy_and_rejection(spark):
+    """Accuracy on documents that were not learned from, and what happens to a language that nobody labelled."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    own = langid.identify(docs, langid.train(docs)).where(langid.held_out() & F.col("lang").isNotNull()).collect()
+    assert len(own) > 200 and sum(r.lang == r.lang_pred for r in own) >= 0.98 * len(own) and sum(r.rejected for r in own) <= 0.02 * len(own)
+    for gone in ("fr", "es"):
+        found = langid.identify(docs, langid.train(docs.where(F.col("lang") != gone))).where(langid.held_out()).groupBy((F.col("lang") == gone).alias("foreign")).agg(F.avg(F.col("rejected").cast("int")).alias("share"))
+        share = {r.foreign: r.share for r in found.collect()}
+        assert share[True] >= 0.8 and share[False] <= 0.02, gone
 
 
 def test_language_is_learned_only_from_the_others(spark):
