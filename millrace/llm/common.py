@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -20,9 +20,15 @@ _written: dict[int, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests on one machine), a temporary folder is set for the session."""
-    folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    """The cluster's shared folder. Where none is set, a master on this machine (tests) gets a temporary folder, and any
+    other has none that all executors share: an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get(_SETTING, None) or context.getConf().get(_SETTING)
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
     if not folder:
+        if not (context.master or "").startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
@@ -45,6 +51,45 @@ def release(spark: SparkSession) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Rows that one task puts in order; more rows are cut into ranges.
+RANGE = 1 << 16
+
+
+def accumulated(df: DataFrame, within: list[str], order: list[Column], sums: dict[str, Column], tag: str, most: int = RANGE) -> DataFrame:
+    """``df`` with the columns ``sums``: of each row the sum over the rows before it, in ``order`` among those with equal ``within``.
+
+    ``order`` must tell all rows of a group apart; sums must be exact (whole numbers, or fractions that add up exactly).
+    Above ``most`` rows the table is cut into ranges of about as many, at most one a task; each adds the sums of the
+    ranges before it, so no group, however large, comes to one task. Give a stored table: it is counted first.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(tasks, -(-df.count() // most))
+    zero = {k: F.lit(0).cast(df.select(F.sum(v)).schema[0].dataType) for k, v in sums.items()}
+
+    def over(v: Column, groups: list[str], by: list[Column], k: str) -> Column:
+        line = Window.partitionBy(*groups).orderBy(*by) if groups else Window.orderBy(*by)
+        return F.coalesce(F.sum(v).over(line.rowsBetween(Window.unboundedPreceding, -1)), zero[k])
+
+    if ranges < 2:
+        return df.select("*", *[over(v, within, order, k).alias(k) for k, v in sums.items()])
+    cut = materialise(df.repartitionByRange(ranges, *[F.col(w) for w in within], *order).withColumn("__range", F.spark_partition_id()), f"{tag}-ranges")
+    # As few rows in a group as there are ranges.
+    starts = cut.groupBy("__range", *within).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    starts = starts.select("__range", *within, *[over(F.col(k), within, [F.col("__range")], k).alias(f"__{k}") for k in sums])
+    own = cut.select("*", *[over(v, ["__range", *within], order, k).alias(k) for k, v in sums.items()]).alias("o")
+    same = F.col("o.__range") == F.col("s.__range")
+    for w in within:
+        same = same & F.col(f"o.{w}").eqNullSafe(F.col(f"s.{w}"))
+    joined = own.join(starts.alias("s"), same)
+    return joined.select(*[F.col(f"o.{c}") for c in df.columns], *[(F.col(f"o.{k}") + F.col(f"s.__{k}")).alias(k) for k in sums])
+
+
+def fingerprint_of_row(df: DataFrame) -> Column:
+    """A hash of all columns that Spark can hash: equal rows have equal ones."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*plain)
+
+
 def runs_of(batches: Iterable[pa.RecordBatch], keys: list[str], columns: list[str], most: int | None = None) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray | None]]:
     """Cuts sorted batches into pieces that never split a run of equal keys.
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS, DIMS, GRAMS = 1 << 15, 12, (1, 2, 3, 4)
 #: At most so many documents of each language are learned from; what else is labelled is not read for the fit.
@@ -195,8 +196,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*keep, *new])
 
     frame = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__text"))
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double", "rejected boolean"])
-    return frame.mapInArrow(rows, schema)
+    results = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    return frame.mapInArrow(rows, T.StructType([*frame.schema.fields[:-1], *results]))
 
 
 def held_out() -> Column:

@@ -11,99 +11,115 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise
+from millrace.llm.common import RANGE, accumulated, materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: All targets together, as a share of all sizes; the most that a source gives, in times its size.
 TOTAL, MOST = 1.5, 2.0
 #: A block has the tokens of the total divided by the first, at most the second.
 BLOCKS, LARGEST_BLOCK = 1 << 20, 256
-#: Tokens in a shard, and the most shards of a source (then shards grow).
-SHARD, MOST_SHARDS = 1 << 20, 4096
+#: Tokens in a shard.
+SHARD = 1 << 20
 
 
 def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _scalars(df: DataFrame, *columns: Column) -> list:
+    """One row of aggregates, on the driver."""
+    return list(df.agg(*columns).first())
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> DataFrame:
     """Of (source, source_size): adds target, by code point order of the source (null last) with the weights in turn.
 
     The sources share ``total`` times all sizes by weight; a target stops at ``most`` times its source's size and the
     excess is shared again by weight, until none is above. Sources fill up in the order of cap / weight, so one pass in
-    that order finds the level at which the rest stands. There is one row per source here, few enough for one task.
+    that order finds the level at which the rest stands. Sources may be as many as hosts: no step brings all to one task.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    own = sources.withColumn("weight", F.get(F.array(*map(F.lit, weights)), turn)).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    name = [F.col("source").isNull(), F.col("source")]
+    own = accumulated(materialise(sources, "mix-names"), [], name, {"turn": F.lit(1)}, "mix-turns")
+    own = own.withColumn("weight", F.get(F.array(*map(F.lit, weights)), (F.col("turn") % len(weights)).cast("int"))).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    own = materialise(own.withColumn("fills", F.col("cap") / F.col("weight")), "mix-caps")
+    size, weight = _scalars(own, F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0)))
     # Exact ties in the fill order don't matter: equal sources fill at the same level.
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    upto, every = fill.rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    left = F.sum("source_size").over(every) * F.lit(float(total)) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
-    weight_left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    own = own.withColumn("level", F.greatest(left, F.lit(0.0)) / weight_left).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(~F.col("full"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)["level"]
-    return own.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.least(level * F.col("weight"), F.col("cap")))).drop("weight", "cap", "level", "full")
+    own = accumulated(own, [], [F.col("fills"), *name], {"caps_before": F.col("cap"), "weight_before": F.col("weight")}, "mix-fills")
+    level = F.greatest(F.lit(float(size) * total) - F.col("caps_before"), F.lit(0.0)) / (F.lit(float(weight)) - F.col("weight_before"))
+    own = materialise(own.withColumn("level", level).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight")), "mix-levels")
+    (stands,) = _scalars(own, F.min(F.when(~F.col("full"), F.struct("fills", "level")))["level"])
+    rest = F.lit(stands).cast("double") * F.col("weight")
+    return own.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(rest, F.col("cap"))).alias("target"))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys match."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return left.alias("l").join(right.alias("r"), same, how).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in keys])
 
 
-def apportion(parts: DataFrame, key: list[str], within: list[str], share: str, seats: str, name: str) -> DataFrame:
+def apportion(parts: DataFrame, key: list[str], within: list[str], share: str, seats: str, name: str, most: int = RANGE) -> DataFrame:
     """Adds ``name``: the Sainte-Laguë seats of each row, its share of the ``seats`` of the rows with the same ``within``.
 
     Equals handing out seats one by one to the highest quotient share / (2 taken + 1), ties by key. Rounding each share
     at the mean price gives all but a few; the next quotients up (or the last ones given) are ranked for the difference.
-    How many of its own a row may need follows from its share, so the ranked rows are about three times the rows.
+    How many of its own a row may need follows from its share, so the ranked rows are about three times the rows. Sums
+    of shares are taken in decimals, so that their order can't matter; groups may be of any size.
     """
-    group = Window.partitionBy(*within) if within else Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    whole, rows = F.sum(share).over(group), F.count("*").over(group)
-    own = parts.withColumn("__part", F.when(whole > 0, F.col(share) / whole).otherwise(F.lit(0.0)))
-    own = own.withColumn("__first", F.floor(F.col("__part") * F.col(seats) + 0.5).cast("long"))
-    own = own.withColumn("__off", F.when(whole > 0, F.col(seats) - F.sum("__first").over(group)).otherwise(F.lit(0)).cast("long"))
-    own = own.withColumn("__rows", rows).withColumn("__tries", (F.ceil(F.col("__part") * (F.abs("__off") + F.col("__rows"))) + 2).cast("long"))
+    keys = list(dict.fromkeys([*within, *key]))
+    groups = within or ["__all"]
+    own = materialise(parts.select("*", *([] if within else [F.lit(0).alias("__all")])), "mix-parts")
+    whole = own.groupBy(*groups).agg(F.sum(F.col(share).cast("decimal(38,9)")).cast("double").alias("__whole"), F.count("*").alias("__rows"))
+    own = _joined(own, whole, groups).withColumn("__part", F.when(F.col("__whole") > 0, F.col(share) / F.col("__whole")).otherwise(F.lit(0.0)))
+    own = materialise(own.withColumn("__first", F.floor(F.col("__part") * F.col(seats) + 0.5).cast("long")), "mix-firsts")
+    given = own.groupBy(*groups).agg(F.sum("__first").alias("__given"))
+    own = _joined(own, given, groups).withColumn("__off", F.when(F.col("__whole") > 0, F.col(seats) - F.col("__given")).otherwise(F.lit(0)).cast("long"))
+    own = own.withColumn("__tries", (F.ceil(F.col("__part") * (F.abs("__off") + F.col("__rows"))) + 2).cast("long"))
     own = own.withColumn("__tries", F.when(F.col("__off") > 0, F.least("__tries", "__off")).when(F.col("__off") < 0, F.least("__tries", -F.col("__off"), "__first")).otherwise(F.lit(0)))
-    step = F.explode(F.sequence(F.lit(1).cast("long"), "__tries"))
-    tried = own.where("__tries > 0").select(*key, "__part", "__first", "__off", step.alias("__step"))
+    step = F.explode(F.sequence(F.lit(1).cast("long"), "__tries")).alias("__step")
     seat = F.when(F.col("__off") > 0, F.col("__first") + F.col("__step") - 1).otherwise(F.col("__first") - F.col("__step"))
-    quotient = F.col("__part") / (2 * seat + 1)
-    group = Window.partitionBy(*within) if within else Window.partitionBy()
+    tried = own.where("__tries > 0").select(*dict.fromkeys([*groups, *keys]), "__part", "__first", "__off", step)
+    tried = materialise(tried.withColumn("__quotient", F.col("__part") / (2 * seat + 1)), "mix-tried")
     # Of equal quotients the smaller key has the seat, so it is the first to gain one and the last to lose one.
-    gained = F.row_number().over(group.orderBy(-quotient, *[F.asc(k) for k in key]))
-    lost = F.row_number().over(group.orderBy(quotient, *[F.desc(k) for k in key]))
-    won = tried.withColumn("__rank", F.when(F.col("__off") > 0, gained).otherwise(lost)).where("__rank <= abs(__off)")
-    won = won.groupBy(*key).agg(F.sum(F.signum("__off")).cast("long").alias("__more"))
-    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}")) for k in key]
-    joined = own.alias("p").join(won.alias("w"), same, "left")
-    return joined.select(*[F.col(f"p.{c}") for c in parts.columns], (F.col("__first") + F.coalesce("__more", F.lit(0))).alias(name))
+    gained = accumulated(tried.where("__off > 0"), groups, [F.desc("__quotient"), *[F.asc(k) for k in key], F.asc("__step")], {"__rank": F.lit(1)}, "mix-gained", most)
+    lost = accumulated(tried.where("__off < 0"), groups, [F.asc("__quotient"), *[F.desc(k) for k in key], F.asc("__step")], {"__rank": F.lit(1)}, "mix-lost", most)
+    won = gained.unionByName(lost).where("__rank < abs(__off)").groupBy(*keys).agg(F.sum(F.signum("__off")).cast("long").alias("__more"))
+    out = _joined(own, won, keys, "left")
+    return out.select(*parts.columns, (F.col("__first") + F.coalesce("__more", F.lit(0))).alias(name))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 17) -> DataFrame:
-    """Of (doc_id, source, text): doc_id, size (words), source_size, target (its source's), taken (words, repeats counted).
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of (doc_id, source, text): doc_id, size (words), source_size, target (its source's), taken (words, repeats
+    counted), and the columns to ``keep``.
 
     One row per input row, repeated rows included; no row takes more than ``most`` rounded up to whole passes times its
-    size. Null texts have size 0 and take nothing. The null source is a source. Reruns agree: only doc_id, source, size
+    size. Null texts have size 0 and take nothing. The null source is a source. Reruns agree: only doc_id, source, text
     and the seed decide. Other columns are ignored; an empty table gives no rows. A source's taken words differ from its
-    target by about a block.
+    target by about a block. Shards number as many as the words ask for, and no step brings a source to one task.
     """
-    sized = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
+    sized = materialise(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"), *keep), "mix-sizes")
     sources = materialise(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most), "mix-sources")
-    every = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    (every,) = _scalars(sources, F.coalesce(F.sum(F.col("target").cast("decimal(38,9)")), F.lit(0)).cast("double"))
     block = max(1, min(LARGEST_BLOCK, int(every / BLOCKS)))
     seats = F.lit(int(every / block + 0.5)).cast("long")
     quotas = apportion(sources.withColumn("seats", seats), ["source"], [], "target", "seats", "quota")
-    count = F.least(F.greatest(F.ceil(F.col("source_size") / SHARD), F.lit(1)), F.lit(MOST_SHARDS)).cast("long")
+    count = F.greatest(F.ceil(F.col("source_size") / SHARD), F.lit(1)).cast("long")
     quotas = materialise(quotas.select("source", "source_size", "target", "quota", count.alias("shards")), "mix-quotas")
 
     def with_source(left: DataFrame) -> DataFrame:
         # Stored tables on both sides, so that a hot source's rows can be split when they are dealt out.
         return left.alias("d").join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")))
 
-    shard = F.pmod(F.xxhash64(F.lit(seed), "d.doc_id", "d.size"), F.col("shards"))
-    placed = materialise(with_source(sized).select("d.doc_id", "d.source", "d.size", "source_size", "target", "quota", shard.alias("shard")), "mix-placed")
+    shard = F.pmod(F.xxhash64(F.lit(seed), "d.doc_id", "d.mark"), F.col("shards"))
+    placed = materialise(with_source(sized).select("d.doc_id", "d.source", "d.size", "source_size", "target", "quota", "d.mark", shard.alias("shard"), *keep), "mix-placed")
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota"))
     shards = apportion(shards, ["source", "shard"], ["source"], "words", "quota", "blocks").select("source", "shard", "words", "blocks")
     shards = materialise(shards.withColumn("line", F.ceil(F.col("words") / block).cast("long")), "mix-shards")
     joined = placed.alias("d").join(shards.alias("s"), (F.col("d.source").eqNullSafe(F.col("s.source"))) & (F.col("d.shard") == F.col("s.shard")))
-    cell, seeded = Window.partitionBy("source", "shard"), [F.xxhash64(F.lit(seed + 1), "doc_id", "size"), F.col("doc_id"), F.col("size")]
-    lined = joined.select("doc_id", "d.source", "d.shard", "size", "source_size", "target", "line", F.least("blocks", F.ceil(F.col("line") * F.lit(float(most)))).cast("long").alias("blocks"))
+    cell, seeded = Window.partitionBy("source", "shard"), [F.xxhash64(F.lit(seed + 1), "doc_id", "mark"), F.col("doc_id"), F.col("size")]
+    lined = joined.select(*keep, "doc_id", "mark", "d.source", "d.shard", "size", "source_size", "target", "line", F.least("blocks", F.ceil(F.col("line") * F.lit(float(most)))).cast("long").alias("blocks"))
     lined = lined.withColumn("end", F.sum("size").over(cell.orderBy(*seeded).rowsBetween(Window.unboundedPreceding, 0)))
     lined = lined.withColumn("passes", F.when(F.col("line") > 0, F.floor(F.col("blocks") / F.col("line"))).otherwise(F.lit(0)).cast("long")).withColumn("row", F.monotonically_increasing_id())
     lined = materialise(lined, "mix-lined")
@@ -118,4 +134,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TO
     overlap = F.least(F.col("end"), (F.col("a.block") + 1) * block) - F.greatest(F.col("end") - F.col("size"), F.col("a.block") * block)
     more = met.groupBy("row").agg(F.sum(overlap).alias("more"))
     taken = F.col("passes") * F.col("size") + F.coalesce("more", F.lit(0))
-    return lined.join(more, "row", "left").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return lined.join(more, "row", "left").select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *keep)

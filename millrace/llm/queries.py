@@ -65,7 +65,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("component")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import connected_components, forest, materialise, runs_of
 
@@ -50,15 +51,16 @@ def fingerprint(text: str | None, words_in_shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * set_in > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Of (doc_id, text): doc_id, fp (long, the 64 bits signed). Null text has no words: fingerprint zero."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Of the columns to ``keep`` and text: those columns, fp (long, the 64 bits signed). Null text has no words: fingerprint zero."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(x.as_py()) for x in batch.column(len(keep))), np.uint64, batch.num_rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps)], [*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    own = docs.select(*keep, "text")
+    return own.mapInArrow(rows, T.StructType([*own.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _linked(radius: int, large: int | None):
@@ -112,18 +114,19 @@ def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE_BUCKET)
     return found.where("t < 0").select("a", "b").unionByName(_buckets(rest, radius, None).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component).
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id of the component), and
+    component (the smallest fingerprint of the component, which tells components of null ids apart), and the columns to ``keep``.
 
     One row per input row, repeated rows included. Null and wordless texts have fingerprint zero and are linked like any
     other. A null doc_id is kept and counts for no component's smallest; a component of nulls only has a null id. Other
     columns are ignored; an empty table gives no rows. Equal fingerprints are one node, so copies cost nothing.
     """
-    fps = materialise(fingerprints(docs), "simhash-fps")
+    fps = materialise(fingerprints(docs, ("doc_id", *keep)), "simhash-fps")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     parts = connected_components(links(nodes.select("fp"), radius), "simhash")
     owned = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     owned = materialise(owned, "simhash-owned")
     least = owned.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = materialise(owned.join(least, "component").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(owned.join(least, "component").select("fp", "component_id", "component"), "simhash-named")
+    return fps.join(named, "fp").select("doc_id", *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component")
