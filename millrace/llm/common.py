@@ -55,7 +55,7 @@ def release(spark: SparkSession) -> None:
 RANGE = 1 << 16
 
 
-def accumulated(df: DataFrame, within: list[str], order: list[Column], sums: dict[str, Column], tag: str, most: int = RANGE) -> DataFrame:
+def accumulated(df: DataFrame, within: list[str], order: list[Column], sums: dict[str, Column], tag: str, rows: int | None = None, most: int = RANGE) -> DataFrame:
     """``df`` with the columns ``sums``: of each row the sum over the rows before it, in ``order`` among those with equal ``within``.
 
     ``order`` must tell all rows of a group apart; sums must be exact (whole numbers, or fractions that add up exactly).
@@ -63,7 +63,7 @@ def accumulated(df: DataFrame, within: list[str], order: list[Column], sums: dic
     ranges before it, so no group, however large, comes to one task. Give a stored table: it is counted first.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = min(tasks, -(-df.count() // most))
+    ranges = min(tasks, -(-(df.count() if rows is None else rows) // most))
     zero = {k: F.lit(0).cast(df.select(F.sum(v)).schema[0].dataType) for k, v in sums.items()}
 
     def over(v: Column, groups: list[str], by: list[Column], k: str) -> Column:
@@ -162,17 +162,46 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
     return root
 
 
-def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
+def connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component under links a-b, of rows 0..n-1."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(further := new[new], new):
+            new = further
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+#: Edges that one task connects in memory (16 bytes each); more are contracted first.
+FEW_EDGES = 1 << 18
+
+
+def _solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all edges of a graph: (hi, to) for every node that isn't its component's smallest."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("hi", pa.int64()), ("lo", pa.int64())]))
+    hi, lo = (table.column(c).to_numpy() for c in ("hi", "lo"))
+    nodes, at = np.unique(np.concatenate((hi, lo)), return_inverse=True)
+    root = connect(len(nodes), at[: len(hi)], at[len(hi) :])
+    tied = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[root[tied]])], ["hi", "to"])
+
+
+def connected_components(edges: DataFrame, tag: str = "components", few: int = FEW_EDGES) -> DataFrame:
     """Of edges (a long, b long): (node, component) for every node that has a smaller one in its component.
 
     The component is its smallest node; nodes that are not returned are their own. Each round hooks every node to its
-    smallest neighbour, shortens the paths, and contracts the edges, so the rounds grow with the logarithm of the graph.
-    Nothing but the test for an empty edge table comes to the driver. Each join reads stored tables on both sides, so
-    that a hub's rows can be split when they are dealt out.
+    smallest neighbour, shortens the paths, and contracts the edges, so the rounds grow with the logarithm of the graph;
+    once ``few`` edges are left, one task connects them. Nothing but the number of edges comes to the driver. Each join
+    reads stored tables on both sides, so that a hub's rows can be split when they are dealt out.
     """
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{tag}-edges")
     hooks: list[DataFrame] = []
-    while not edges.isEmpty():
+    while (left := edges.count()) > few:
         hook = materialise(edges.groupBy("hi").agg(F.min("lo").alias("to")), f"{tag}-hooks")
         # Paths are followed to their ends: a hook that ended at a hooked node would tear its component apart.
         while True:
@@ -186,6 +215,8 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
         low = hook.select(F.col("hi").alias("lo"), F.col("to").alias("low"))
         moved = edges.join(hook, "hi").join(low, "lo", "left").select("to", F.coalesce("low", "lo").alias("lo")).where("to <> lo")
         edges = materialise(moved.select(F.greatest("to", "lo").alias("hi"), F.least("to", "lo").alias("lo")).distinct(), f"{tag}-edges")
+    if left:
+        hooks.append(materialise(edges.repartition(1).mapInArrow(_solved, "hi long, to long"), f"{tag}-hooks"))
     if not hooks:
         return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     out = hooks[-1].select(F.col("hi").alias("node"), F.col("to").alias("component"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, materialise
+from millrace.llm.common import connect, connected_components, materialise
 
 THRESHOLD = 0.9
 #: The rotation and the tree come from at most so many vectors; they steer the work and never the result.
@@ -50,21 +50,6 @@ def _cell(coords: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
     return node - len(cuts)
 
 
-def _connect(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row of each row's component under links a-b."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        while not np.array_equal(further := new[new], new):
-            new = further
-        if np.array_equal(new, root):
-            return root
-        root = new
-
-
 def _unit(raw: list[bytes], kind: type = np.float64) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
     big = np.abs(x).max(axis=1, keepdims=True)  # first to a common scale, so that no square overflows or vanishes
@@ -129,9 +114,9 @@ def _matched(basis: np.ndarray, stages: list[int], threshold: float, kind: type)
             a.append(ra[differ])
             b.append(rb[differ])
             if sum(map(len, a)) > 1 << 18:  # bounded memory: fold what has been found
-                root = _connect(len(ids), np.concatenate([*a, np.arange(len(ids))]), np.concatenate([*b, root]))
+                root = connect(len(ids), np.concatenate([*a, np.arange(len(ids))]), np.concatenate([*b, root]))
                 a, b = [], []
-        root = _connect(len(ids), np.concatenate([*a, np.arange(len(ids))]), np.concatenate([*b, root]))
+        root = connect(len(ids), np.concatenate([*a, np.arange(len(ids))]), np.concatenate([*b, root]))
         hit = np.flatnonzero(count)
         return pa.table({"id": pa.array(ids[hit]), "root": pa.array(ids[root[hit]]), "links": pa.array(count[hit])})
 

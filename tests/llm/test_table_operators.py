@@ -148,7 +148,7 @@ def test_apportionment_equals_seat_by_seat(spark, seed):
     r = random.Random(seed)
     rows = [(g, i, float(r.choice([0, 1, 5, 3, r.random(), 1000 * r.random()])), seats) for g, seats in ((0, r.choice([0, 1, 7])), (1, r.choice([100, 977]))) for i in range(r.randint(1, 25))]
     df = spark.createDataFrame(rows, "g int, k int, share double, seats long")
-    got = {(x.g, x.k): x.q for x in mixing.apportion(df, ["g", "k"], ["g"], "share", "seats", "q", most=7).collect()}
+    got = {(x.g, x.k): x.q for x in mixing.apportion(df, ["g", "k"], ["g"], "share", "seats", "q", at_once=7).collect()}
     for g in (0, 1):
         own = [x for x in rows if x[0] == g]
         whole, seats = sum(x[2] for x in own), {x[1]: 0 for x in own}
@@ -163,7 +163,7 @@ def test_mixing_over_all_sources(spark):
     shares = [("a", 5.0), ("b", 3.0), (None, 2.5), ("c", 0.0), ("d", 5.0)]
     df = spark.createDataFrame(shares, "source string, share double").withColumn("seats", F.lit(11).cast("long"))
     for most in (1, 1000):
-        got = {x.source: x.q for x in mixing.apportion(df, ["source"], [], "share", "seats", "q", most).collect()}
+        got = {x.source: x.q for x in mixing.apportion(df, ["source"], [], "share", "seats", "q", at_once=most).collect()}
         seats = dict.fromkeys(got, 0)
         for _ in range(11):
             best = min(shares, key=lambda x: (-x[1] / (2 * seats[x[0]] + 1), x[0] is not None, x[0] or ""))
@@ -176,11 +176,19 @@ def test_sums_before_each_row(spark):
     rows = [(r.choice(["x", None, "y"]), k, r.randint(0, 9), "c") for k in range(300)]
     df = spark.createDataFrame(rows, "g string, k int, v int, clash string")
     for most in (1 << 16, 20):
-        got = accumulated(df, ["g"], [F.desc("k")], {"n": F.lit(1), "s": F.col("v")}, "test", most).collect()
+        got = accumulated(df, ["g"], [F.desc("k")], {"n": F.lit(1), "s": F.col("v")}, "test", most=most).collect()
         want = [(g, k, v, c, sum(x[0] == g and x[1] > k for x in rows), sum(x[2] for x in rows if x[0] == g and x[1] > k)) for g, k, v, c in rows]
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_targets_of_many_sources(spark, at_once):
+    sizes = {f"s{k}": 1 + (k * k) % 37 for k in range(40)} | {None: 5, "é": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df, at_once=at_once).collect()}
+    assert got == pytest.approx(brute_targets(sizes))
+
+
 def test_taken_words_are_blocks_of_the_line(spark):
     """Where a block is one word, a source's taken words are its seats exactly, and whole passes go to every document."""
     df = spark.createDataFrame([(k, "s" if k % 3 else "t", prose(20 + k, k)) for k in range(30)], "doc_id long, source string, text string")

@@ -36,8 +36,9 @@ def test_components(spark, edges):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert sorted((r.node, r.component) for r in got) == sorted((x, find(x)) for x in parent if find(x) != x)
+    for few in (0, 8, 1 << 18):
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()
+        assert sorted((r.node, r.component) for r in got) == sorted((x, find(x)) for x in parent if find(x) != x)
 
 
 def test_runs_are_never_split():
