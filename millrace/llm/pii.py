@@ -1,9 +1,11 @@
 """Personal data, found in the text as it stands and under disguises.
 
-Plain identifiers are matched directly. Two transducers then rewrite the text, each keeping for every output character
+Plain identifiers are matched directly. Transducers then rewrite the text, each keeping for every output character
 the source characters it came from: the first maps look-alike letters, wide forms and foreign digits to ASCII and drops
-invisible characters; the second rewrites spelled digits and at/dot disguises. Identifiers found in the rewritten text
-are mapped back to source spans and added where they rest on a rewrite and touch no plain one of their kind.
+invisible characters; the second rewrites at/dot disguises (in brackets, bare, between marks) and spelled digits.
+Identifiers found in the rewritten text are mapped back to source spans and added where they rest on a rewrite and touch
+no plain one of their kind. A bare "at" before a plain domain is ambiguous ("the docs at site.org"): it makes an address
+only where the local part isn't a mere word, the domain is a mail service's, or a word such as "mail" announces one.
 """
 
 from __future__ import annotations
@@ -43,22 +45,46 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?(?:(?:{_WORDS}|[0-9])[ .,-]{{1,2}}){{2,}}(?:{_WORDS}|[0-9])(?!\w)", re.I)
-_SPELLED_PART = re.compile(rf"(plus)|({_WORDS})|([0-9])", re.I)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@|ät|arobase|arroba)\s*[\])}>]\s*", re.I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*", re.I)
-_BARE = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]+( at )(?!(?:the|a|an|this|that|my|our|your|his|her|their) )[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)*? dot [A-Za-z]{2,}(?!\w)", re.I)
-_BARE_DOT = re.compile(r" dot ", re.I)
-_TRIGGER = re.compile(r"[\[({<]\s*(?:at|@|ät|arobase|arroba|dot|\.|punkt|point|punto)\s*[\])}>]", re.I)
-_DIGIT_WORDS = frozenset(DIGIT_WORDS)
+# English numbers of two digits, what doubles a digit, and words for marks between digits.
+TENS = {"ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90"}
+REPEATS = {"double": 2, "doble": 2, "triple": 3, "treble": 3}
+MARKS = {"dot": ".", "point": ".", "punkt": ".", "punto": ".", "dash": "-", "hyphen": "-", "plus": "+"}
+# Words for @ and the dot; domains of mail services; words that announce an address; words that stand before
+# a plain "at".
+AT_WORDS, DOT_WORDS = "at|ät|arobase|arroba", "dot|punkt|point|punto"
+MAIL_DOMAINS = frozenset("gmail googlemail yahoo hotmail outlook live icloud aol gmx web proton protonmail fastmail yandex mail".split())
+TOP_DOMAINS = frozenset("com org net edu gov info biz".split())
+ANNOUNCES = re.compile(r"mail|contact|write|reach|address|adresse|courriel|correo|kontakt|escrib", re.I)
+PLAIN_LOCALS = frozenset("me us you it him her them look looked see meet is are be was were here there not and or online available found hosted live read visit more only now".split())
+ARTICLES = frozenset("the a an this that my our your his her their its least most all any some".split())
+#: Characters before a bare "at" that are looked at for an announcement, and the longest local part of a disguised address.
+_NEAR, _LOCAL = 40, 64
+
+_SPELLED = frozenset(DIGIT_WORDS) | frozenset(TENS)
+_NUMBER_WORDS = _SPELLED | frozenset(MARKS) | frozenset(REPEATS)
+_TOKEN = re.compile(rf"(?<![^\W_])(?:({'|'.join(sorted(_NUMBER_WORDS, key=len, reverse=True))})|([0-9]+))(?![^\W_])", re.I)
+_GAP = re.compile(r"[ .,()\n-]{0,3}")
+_BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s{{0,3}}(?:({AT_WORDS}|@)|{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
+_BARE_AT = re.compile(rf"(?:\s{{1,3}}@\s{{1,3}}|@|(?:(?P<mark>[_-])|\s{{1,3}})(?P<word>{AT_WORDS})(?(mark)(?P=mark)|\s{{1,3}}))(?=[A-Za-z0-9])", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
+_PLAIN_LABEL = re.compile(r"[A-Za-z0-9]{1,63}")
+_BARE_DOT = re.compile(rf"\.|\s{{1,3}}(?P<word>{DOT_WORDS})\s{{1,3}}|\s\.\s", re.I)
+_MARKED_DOT = {m: re.compile(rf"{m}(?P<word>{DOT_WORDS}){m}", re.I) for m in "_-"}
 
 
 def _folded() -> dict[int, str]:
-    table = {ord(k): v for k, v in LOOKALIKES.items()} | dict.fromkeys(map(ord, INVISIBLE), "")
-    table |= {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    table |= {c: str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x20000) if unicodedata.category(chr(c)) == "Nd"}
-    return table
+    """What looks like ASCII: by compatibility (wide, mathematical, circled, raised forms), small capitals, digits of all
+    scripts, and the letters listed."""
+    table: dict[int, str] = {}
+    for c in range(0x80, 0x20000):
+        like = unicodedata.normalize("NFKC", chr(c))
+        if like.isascii() and like.isprintable() and like.strip() == like and like:
+            table[c] = like
+        elif unicodedata.category(chr(c)) == "Nd":
+            table[c] = str(unicodedata.decimal(chr(c)))
+        elif m := re.fullmatch(r"LATIN LETTER SMALL CAPITAL ([A-Z])", unicodedata.name(chr(c), "")):
+            table[c] = m[1].lower()
+    return table | {ord(k): v for k, v in LOOKALIKES.items()} | dict.fromkeys(map(ord, INVISIBLE), "")
 
 
 FOLDED = _folded()
@@ -142,39 +168,117 @@ class Rewritten:
 
 
 def rewrite(text: str) -> Rewritten | None:
-    """Both transducers in turn; None if neither has anything to do."""
-    fold = not text.isascii() and not _FOLDS.isdisjoint(text)
-    if not fold and not _TRIGGER.search(text) and not _spells(text.lower()):
-        return None
+    """All transducers in turn; None if none has anything to do."""
     out = Rewritten(text)
-    if fold:
+    if not text.isascii() and not _FOLDS.isdisjoint(text):
         out.apply([(m.start(), m.end(), FOLDED[ord(m[0])]) for m in _FOLDABLE.finditer(text)])
-    edits = [(*m.span(), "@") for m in _AT.finditer(out.text)] + [(*m.span(), ".") for m in _DOT.finditer(out.text)]
-    if " dot " in out.text.lower():
-        for m in _BARE.finditer(out.text):
-            edits.append((*m.span(1), "@"))
-            edits += [(*d.span(), ".") for d in _BARE_DOT.finditer(out.text, m.end(1), m.end())]
-    out.apply(_apart(edits))
-    edits = []
-    for m in _SPELLED.finditer(out.text) if _spells(out.text.lower()) else ():
-        if any(x.isalpha() for x in m[0]):
-            parts = list(_SPELLED_PART.finditer(m[0]))
-            for p, following in zip(parts, [*parts[1:], None]):
-                by = "+" if p[1] else p[3] or DIGIT_WORDS[p[0].lower()]
-                gap = m[0][p.end() : following.start()] if following else ""
-                edits.append((m.start() + p.start(), m.start() + p.end() + len(gap), by + ("." if "." in gap else "")))
-    out.apply(edits)
-    return out
+    out.apply([(*m.span(), "@" if m[1] else ".") for m in _BRACKETED.finditer(out.text)])
+    out.apply(_apart(_addresses(out)))
+    if _spells(out.text.lower()):
+        out.apply(_digits(out.text))
+    return out if out.text is not text else None
+
+
+def _domain(text: str, at: int, mark: str | None) -> tuple[list[tuple[int, int]], int] | None:
+    """The separators of a domain that starts at ``at``, and its end: labels between dots or words for them, one word throughout."""
+    labels, dots = (_PLAIN_LABEL, _MARKED_DOT[mark]) if mark else (_LABEL, _BARE_DOT)
+    seps: list[tuple[int, int]] = []
+    label, word, end = labels.match(text, at), None, at
+    while label and len(seps) < 8:
+        end = label.end()
+        sep = dots.match(text, end)
+        following = sep and labels.match(text, sep.end())
+        own = sep and (sep["word"] or "").lower()
+        if not following or (own and word and own != word):
+            break
+        # After a domain's usual end only a country can follow, unless the dots are plain.
+        if seps and label[0].lower() in TOP_DOMAINS and sep[0] != "." and len(following[0]) != 2:
+            break
+        word = own or word
+        seps.append(sep.span())
+        label = following
+    if not seps or not text[seps[-1][1] : end].strip("-").isalpha() or end - seps[-1][1] < 2:
+        return None
+    return seps, end
+
+
+def _addresses(out: Rewritten) -> list[tuple[int, int, str]]:
+    """Edits that write words for @ and the dot as such, where an address stands around them."""
+    text, edits, done = out.text, [], 0
+    for m in _BARE_AT.finditer(text):
+        start = m.start()
+        least = max(done, start - _LOCAL)
+        # Where the at is set off by marks, they end the local part.
+        while start > least and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        local = text[start : m.start()]
+        found = _domain(text, m.end(), m["mark"]) if local.strip("._%+-") else None
+        if not found:
+            continue
+        seps, end = found
+        spoken = [s for s in seps if text[slice(*s)] != "."]
+        if m["word"]:
+            name = text[m.end() : seps[0][0]].lower()
+            if local.lower() in PLAIN_LOCALS or name in ARTICLES or name in ("dot", "point"):
+                continue
+            # A spoken or rewritten dot gives an address away; a plain domain needs another sign.
+            sure = spoken or any(out.changed(*s) for s in seps) or not local.isalpha() or name in MAIL_DOMAINS or ANNOUNCES.search(text, max(0, start - _NEAR), start)
+            if not sure:
+                continue
+        elif m[0] == "@" and not spoken:
+            continue
+        if m[0] != "@":
+            edits.append((*m.span(), "@"))
+        edits += [(*s, ".") for s in spoken]
+        done = end
+    return edits
+
+
+def _digits(text: str) -> list[tuple[int, int, str]]:
+    """Edits that write runs of spelled digits, numbers and marks as figures."""
+    edits: list[tuple[int, int, str]] = []
+    run: list[re.Match] = []
+
+    def close() -> None:
+        while run and run[-1][1] and run[-1][1].lower() not in _SPELLED:
+            run.pop()
+        if sum(bool(t[2]) or t[1].lower() in _SPELLED for t in run) < 3 or not any(t[1] and t[1].lower() in _SPELLED for t in run):
+            return
+        times, tens = 1, False
+        for t, following in zip(run, [*run[1:], None]):
+            word = (t[1] or "").lower()
+            gap = text[t.end() : following.start()] if following else ""
+            joint = "." if "." in gap and not (following and following[1] and following[1].lower() in MARKS) and word not in MARKS else ""
+            if word in REPEATS:
+                times, by = REPEATS[word], ""
+            elif word in MARKS:
+                by = MARKS[word]
+            else:
+                by = t[2] or DIGIT_WORDS.get(word) or TENS[word]
+                # "ninety two" is 92.
+                if word in TENS and by[1] == "0" and by != "10" and following and DIGIT_WORDS.get((following[1] or "").lower(), "0") != "0" and "." not in gap:
+                    by = by[0]
+                by, times = by * times, 1
+            edits.append((t.start(), t.end() + len(gap), by + joint))
+
+    for t in _TOKEN.finditer(text):
+        if run:
+            gap = _GAP.match(text, run[-1].end())
+            if gap.end() < t.start() or (run[-1][2] and t[2]) and "." not in gap[0] and " " not in gap[0] and "-" not in gap[0]:
+                close()
+                run = []
+        if run or not t[1] or t[1].lower() in _SPELLED or t[1].lower() in REPEATS or t[1].lower() == "plus":
+            run.append(t)
+    close()
+    return edits
 
 
 def _spells(lower: str) -> bool:
-    """Whether the lower-cased text has `` dot ``, or next to each other a spelled digit and another or a figure."""
-    if " dot " in lower:
-        return True
-    words = lower.replace("-", " ").replace(".", " ").replace(",", " ").split()
-    if _DIGIT_WORDS.isdisjoint(words):
+    """Whether the lower-cased text has a spelled digit beside another, a figure, or a word for a mark or a repeat."""
+    words = lower.replace("-", " ").replace(".", " ").replace(",", " ").replace("(", " ").replace(")", " ").split()
+    if _SPELLED.isdisjoint(words):
         return False
-    return any(w in _DIGIT_WORDS and (v in _DIGIT_WORDS or v.isdigit()) for w, v in zip(words, words[1:]))
+    return any((w in _SPELLED and (v in _NUMBER_WORDS or v.isdigit())) or (v in _SPELLED and (w in _NUMBER_WORDS or w.isdigit())) for w, v in zip(words, words[1:]))
 
 
 def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
