@@ -4,7 +4,7 @@ Plain identifiers are matched directly. Transducers then rewrite the text, each
 the source characters it came from: the first maps look-alike letters, wide forms and foreign digits to ASCII and drops
 invisible characters; the second rewrites at/dot disguises (in brackets, bare, between marks) and spelled digits.
 Identifiers found in the rewritten text are mapped back to source spans and added where they rest on a rewrite and touch
-no plain one of their kind. A bare "at" before a plain domain is ambiguous ("the docs at site.org"): it makes an address
+no plain one of their kind but as the whole of which it is a part. A bare "at" before a plain domain is ambiguous ("the docs at site.org"): it makes an address
 only where the local part isn't a mere word, the domain is a mail service's, or a word such as "mail" announces one.
 """
 
@@ -300,7 +300,9 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
             if out.changed(a, b):
                 s, e = out.source(a, b)
                 own, k = taken[kind], bisect_left(taken[kind], (s, s))
-                if not (k < len(own) and own[k][0] < e) and not (k and own[k - 1][1] > s):
+                met = ([own[k - 1]] if k and own[k - 1][1] > s else []) + ([own[k]] if k < len(own) and own[k][0] < e else [])
+                # A plain one that is but a part of it was cut short by the disguise.
+                if all(s <= p and q <= e and (s, e) != (p, q) for p, q in met):
                     added.append((kind, s, e))
     return base, added
 
