@@ -1,8 +1,11 @@
 """Secret scans: candidate tokens by pattern, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of at least twelve token characters with a digit in it, a run of at least six characters without
-blanks and quotes after a secret word, or one after any assignment. The forest sees its length, its changes of character class, its make-up, how much of it dictionary words cover, whether it stands in a path, and the words around
-it. It is trained on labelled findings and becomes a sum of nested conditions, so scoring stays in the query's plan.
+A candidate is the block of a private key, the password of an address with a login, a run of at least twelve token
+characters with a digit in it, a run of at least six characters without blanks and quotes after a secret word, or one
+after any assignment. What is none of these (a passphrase with blanks, a short or merely lettered token that nothing
+announces, one split over lines) the forest never sees. It sees a candidate's length, its changes of character class, its
+make-up, how much of it dictionary words cover, whether it stands in a path, and the words around it. It is trained on
+labelled findings and becomes a sum of nested conditions, so scoring stays in the query's plan.
 """
 
 from __future__ import annotations
@@ -12,9 +15,13 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialise
+
 REPLACEMENT = "[SECRET]"
 #: How far a candidate's surroundings are read, in characters before and after.
 BEFORE, AFTER = 64, 32
+#: Candidates of a text whose places are added up together.
+CHUNK = 256
 #: The labelled findings number as many as this; trees of the forest, their depth, and the share of trees that makes a secret.
 FINDINGS, TREES, DEPTH, VERDICT = 3000, 12, 6, 0.5
 
@@ -41,13 +48,18 @@ _SECRET_VALUE = (
 )
 #: The value after any other assignment, up to a run of token characters.
 _VALUE = rf"(?<=[=:]\s{{0,3}}[\"']?)(?!//)(?:(?!{_STOP}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{12}})[^\s\"'&?=:;,<>(){{}}\[\]]){{6,}}+"
-CANDIDATE = f"{_SECRET_VALUE}|{_TOKEN}|{_VALUE}"
+#: A private key from its first line to its last, and the password before the @ of an address.
+_BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----\s++(?:[A-Za-z-]{1,24}: [^\n]{0,200}+\s++){0,4}+[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,24}PRIVATE KEY-----"
+_LOGIN = r"(?<=://[A-Za-z0-9._%+-]{1,40}:)[^\s@/:\"'<>]{4,}+(?=@)"
+CANDIDATE = f"{_BLOCK}|{_LOGIN}|{_SECRET_VALUE}|{_TOKEN}|{_VALUE}"
+#: How keys of known services begin.
+_FORMS = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^glpat-[A-Za-z0-9_-]{16,}$|^(?:npm|hf)_[A-Za-z0-9]{30,}$|^sk-[A-Za-z0-9_-]{20,}$|^xox[abprs]-|^AIza[0-9A-Za-z_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}|^-----BEGIN "
 
 # Words of passwords that people choose.
 CHOSEN = ["correct", "horse", "battery", "staple", "purple", "tiger", "monkey", "dragon", "hunter", "summer", "winter", "orange", "sunny", "river", "castle", "guitar", "rocket", "coffee", "silver", "falcon", "pepper", "cookie", "shadow", "magic"]
 
 _WORD_SIDE = r"(?i)(?<![A-Za-z])(?:{})(?![A-Za-z])"
-FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "dictionary", "separators", "path", "assigned", "secret_words", "plain_words", "known_form", "symbols", "named", "name")
+FEATURES = ("length", "transitions", "digits", "uppers", "hexadecimal", "distinct", "dictionary", "separators", "path", "assigned", "secret_words", "plain_words", "known_form", "symbols", "named", "name", "login")
 
 
 def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
@@ -73,15 +85,16 @@ def features(c: Column, before: Column, after: Column) -> dict[str, Column]:
         "assigned": F.when(before.rlike(r"""[=:]\s*["']?$"""), 1.0).otherwise(0.0),
         "secret_words": count(_WORD_SIDE.format("|".join(SECRET_WORDS)), near).cast("double"),
         "plain_words": (count(_WORD_SIDE.format("|".join(PLAIN_WORDS)), F.right(before, F.lit(24))) + count(_WORD_SIDE.format("|".join(PLAIN_WORDS)), F.left(after, F.lit(12)))).cast("double"),
-        "known_form": F.when(c.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^sk-[A-Za-z0-9_-]{20,}$|^xox[abprs]-|^AIza[0-9A-Za-z_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}"), 1.0).otherwise(0.0),
+        "known_form": F.when(c.rlike(_FORMS), 1.0).otherwise(0.0),
         "symbols": count(r"[^A-Za-z0-9+/_=-]") / size,
         "named": F.when(before.rlike(rf"""(?<![A-Za-z]){_WORDS}(?:[_-][A-Za-z0-9_-]{{0,16}})?["'\]]{{0,2}}\s*(?::=|=>|==|[=:])\s*["']?$"""), 1.0).otherwise(0.0),
         "name": F.when(after.rlike(r"""^["']?\s*[=:]|^\("""), 1.0).otherwise(0.0),
+        "login": F.when(before.rlike(r"://[^\s:@/]{1,40}:$") & F.startswith(after, F.lit("@")), 1.0).otherwise(0.0),
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """(candidate, before, after, secret): findings of known kinds, made by rule; equal for equal n."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, first: int = 0) -> DataFrame:
+    """(candidate, before, after, secret): findings of known kinds, made by rule from the numbers ``first`` to n - 1."""
     sha = [F.sha2(F.concat_ws(":", F.lit(k), F.col("id")), 256) for k in range(4)]
     b64 = F.regexp_replace(F.base64(F.unhex(F.concat(sha[0], sha[1]))), r"[\r\n=]", "")
     word = [F.get(F.lit(DICTIONARY), F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(len(DICTIONARY))).cast("int")) for k in range(6)]
@@ -127,11 +140,16 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, pick(["key ", "token ", "secret ", "the password is ", "password ", "auth "], 54), F.concat(pick(["re", "un", "over", "inter"], 55), pick(CHOSEN + DICTIONARY, 56))),
         (0, pick(chosen, 57), pick(["${DB_PASSWORD}", "<password>", "********", "<your-password>", "your_password", "{{secret}}", "$PASSWORD", "<secret-value>", "xxxxxxxx", "%(password)s"], 58)),
         (0, pick(["key=", "token = ", "password = ", "secret: ", "auth="], 59), F.concat(word[0], pick([".", "_", "->"], 60), word[1], pick(["", "()", "[0]"], 61))),
+        (1, pick(chosen, 67), F.concat(own_word[0], own_word[1], F.when(F.col("id") % 2 == 0, own_word[2]).otherwise(word[4]))),
+        (1, F.concat(pick(["postgres", "https", "amqp", "redis", "mysql"], 68), F.lit("://"), pick(["app", "deploy", "svc", "root", "reader"], 69), F.lit(":")), F.when(F.col("id") % 4 < 2, F.concat(own_word[0], year)).otherwise(F.substr(b64, F.lit(1), short))),
+        (1, F.lit("\n"), F.concat(F.lit("-----BEGIN PRIVATE KEY-----\n"), b64, F.lit("\n"), sha[2], F.lit("\n-----END PRIVATE KEY-----"))),
+        (1, pick(["", "token=", " with "], 70), F.concat(pick(["glpat-", "hf_", "npm_", "sk-"], 71), tail(F.substr(F.regexp_replace(F.concat(b64, b64), "[^A-Za-z0-9]", ""), F.lit(1), F.lit(36))))),
+        (0, pick(["see https://", "at http://", "clone ssh://", "open https://"], 72), F.concat(word[0], F.lit("."), word[1], F.lit(":8080/"), word[2], F.lit("/"), F.substr(sha[3], F.lit(1), F.lit(12)))),
         (0, pick(["", "export ", "set "], 62), F.concat(pick(["API_KEY_", "SECRET_KEY_", "ACCESS_TOKEN_", "AWS_S3_SECRET_KEY_", "DB_PASSWORD_"], 63), year, pick(["X", "_PROD", "A", ""], 64))),
     ]
     rows = F.array(*[F.struct(F.lit(label).alias("secret"), F.concat(prose, lead).alias("before"), F.coalesce(c, F.lit("")).alias("candidate")) for label, lead, c in kinds])
-    own = spark.range(n).select("id", F.get(rows, F.pmod(F.col("id"), F.lit(len(kinds))).cast("int")).alias("f"))
-    after = F.when(F.col("f.before").rlike("\"$"), F.lit('" and ')).when(F.col("f.before").rlike("'$"), F.lit("';\n")).when(F.col("f.candidate").rlike("^[A-Z0-9]+_[A-Z0-9_]+$"), F.lit("=")).otherwise(pick([" then ", ".\n", ", or ", " "], 19))
+    own = spark.range(first, n).select("id", F.get(rows, F.pmod(F.col("id"), F.lit(len(kinds))).cast("int")).alias("f"))
+    after = F.when(F.col("f.before").rlike("\"$"), F.lit('" and ')).when(F.col("f.before").rlike("'$"), F.lit("';\n")).when(F.col("f.candidate").rlike("^[A-Z0-9]+_[A-Z0-9_]+$"), F.lit("=")).when(F.col("f.before").rlike("://[a-z]+:$"), F.lit("@db.internal:5432/x ")).otherwise(pick([" then ", ".\n", ", or ", " "], 19))
     return own.select(F.col("f.candidate").alias("candidate"), F.col("f.before").alias("before"), after.alias("after"), F.col("f.secret").cast("double").alias("secret"))
 
 
@@ -144,14 +162,23 @@ def _grown(node) -> tuple | float:
     return FEATURES[split.featureIndex()], float(split.threshold()), _grown(node.leftChild()), _grown(node.rightChild())
 
 
-def forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> list:
-    """A random forest trained on labelled findings, as nested tuples."""
+def fitted(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5):
+    """Spark's random forest on labelled findings, and the rows it was fitted on."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     own = findings.select("secret", *[v.cast("double").alias(k) for k, v in features(F.col("candidate"), F.col("before"), F.col("after")).items()])
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own).select("secret", "features")
-    model = RandomForestClassifier(labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="5").fit(vectors)
+    own = materialise(own, "secret-findings")  # fitting reads them several times
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own)
+    return RandomForestClassifier(labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="5").fit(vectors.select("secret", "features")), vectors
+
+
+def forest(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 5) -> list:
+    """A random forest trained on labelled findings, as nested tuples."""
+    return nested(fitted(findings, trees, depth, seed)[0])
+
+
+def nested(model) -> list:
     return [_grown(tree.rootNode()) for tree in model._java_obj.trees()]
 
 
@@ -205,22 +232,35 @@ def redacted(docs: DataFrame, trees: list | None = None) -> DataFrame:
         scores = F.transform(x["c"], lambda c, i: judged(c, i, x["p"], x["ends"]))
         return F.struct(x["c"].alias("c"), x["p"].alias("p"), scores.alias("s"))
 
-    def placed(x: Column) -> Column:
-        none = F.array().cast("array<struct<start:bigint,end:bigint,score:double>>")
+    def measured(x: Column) -> Column:
+        """Adds where each candidate starts: sums of lengths within chunks of CHUNK, on top of sums of whole chunks."""
+        n = F.size(x["c"])
+        lengths = F.transform(x["c"], lambda c, i: (F.char_length(c) + F.char_length(F.get(x["p"], i))).cast("bigint"))
+        chunks = F.transform(F.sequence(F.lit(0), F.floor(n / CHUNK).cast("int")), lambda k: total(F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK))))
+        return F.struct(x["c"].alias("c"), x["p"].alias("p"), x["s"].alias("s"), lengths.alias("w"), chunks.alias("k"))
 
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(x["p"], i))
-            end = start + F.char_length(F.get(x["c"], i))
-            s = F.get(x["s"], i)
-            more = F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), s.alias("score"))))
-            return F.struct(end.alias("at"), F.when(s > VERDICT, more).otherwise(acc["found"]).alias("found"))
+    def total(lengths: Column) -> Column:
+        return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, w: a + w)
+
+    def summed(x: Column) -> Column:
+        before = F.transform(x["k"], lambda _, k: total(F.slice(x["k"], F.lit(1), k)))
+        return F.struct(*[x[f].alias(f) for f in "cpsw"], before.alias("k"))
+
+    def placed(x: Column) -> Column:
+        def span(c: Column, i: Column) -> Column:
+            chunk = F.floor(i / CHUNK).cast("int")
+            end = F.get(x["k"], chunk) + total(F.slice(x["w"], chunk * CHUNK + 1, i - chunk * CHUNK + 1))
+            return F.struct((end - F.char_length(c)).alias("start"), end.alias("end"), F.get(x["s"], i).alias("score"))
 
-        found = F.aggregate(F.sequence(F.lit(0), F.size(x["c"]) - 1), F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+        found = F.filter(F.transform(x["c"], span), lambda f: f["score"] > VERDICT)
         kept = F.transform(x["p"], lambda p, i: F.concat(p, F.coalesce(F.when(F.get(x["s"], i) > VERDICT, F.lit(REPLACEMENT)).otherwise(F.get(x["c"], i)), F.lit(""))))
         return F.struct(F.size(x["c"]).cast("bigint").alias("n"), found.alias("found"), F.array_join(kept, "").alias("text"))
 
     cut = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split(text, CANDIDATE, -1).alias("p"))
-    result = F.get(F.transform(F.transform(F.transform(F.array(cut), ended), scanned), placed), F.lit(0))
+    result = F.array(cut)
+    for step in (ended, scanned, measured, summed, placed):
+        result = F.transform(result, step)
+    result = F.get(result, F.lit(0))
     own = docs.withColumn("__scan", F.when(text.rlike(CANDIDATE), result))
     none = F.array().cast("array<struct<start:bigint,end:bigint,score:double>>")
     keep = [F.col(f"`{c}`") if c != "text" else F.coalesce("__scan.text", "text").alias("text") for c in docs.columns if c not in ("n_candidates", "secrets")]
