@@ -14,6 +14,8 @@ from millrace.llm.common import materialise
 
 # The marks of a turn.
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: The name of the conversation whose turns have no id.
+NO_ID = "none"
 
 
 def escape(text: Column) -> Column:
@@ -104,10 +106,11 @@ def conversations(turns: DataFrame) -> DataFrame:
     """Of (conv_id, turn, role, text): reply-tree messages (tree, node, parent, role, text, score), each turn answering the one before.
 
     Turns are numbered by (turn, role, text), so repeated rows and equal turn numbers keep a fixed order and no row is
-    lost; null turns come first; rows with a null conv_id form one conversation of their own, told by ``tree`` null being
-    replaced by the smallest long. Messages score 1 each.
+    lost; null turns come first; rows with a null conv_id form one conversation of their own. ``tree`` is the id as text,
+    and NO_ID for the one without. Messages score 1 each. A conversation's turns are numbered and joined in one task, as
+    its formatted text is one value.
     """
-    own = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 63))).alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit(NO_ID)).alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     node = F.row_number().over(Window.partitionBy("tree").orderBy("turn", "role", "text")).cast("long")
     own = own.withColumn("node", node)
     return own.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))

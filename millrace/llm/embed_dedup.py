@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import connect, connected_components, materialise
 
 THRESHOLD = 0.9
-#: The rotation and the tree come from at most so many vectors; they steer the work and never the result.
-SAMPLE, CELLS, LEADING = 4096, 256, 8
+#: The rotation comes from at most so many vectors, the tree from at most PER_CELL for each cell; they steer the work and
+#: never the result. Cells grow with the data up to CELLS, as every pair of cells is looked at; then blocks are cut from them.
+SAMPLE, CELLS, PER_CELL, LEADING = 4096, 1024, 16, 8
 #: A block has at most about so many vectors, and a tile two blocks.
 BLOCK = 8192
 #: The shares of the sample's energy after which the remaining product is bounded.
@@ -138,14 +139,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     total, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()
+    # Few vectors still make a hundred tiles or so, to spread over the tasks.
+    wanted = min(CELLS, max(3 * total // block, min(16, total // 640)))
+    sample = classes.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE, PER_CELL * wanted)).select("embedding").collect()
     units = _unit([np.pad(np.array(r[0]), (0, width - len(r[0]))).tobytes() for r in sample])
     values, vectors_ = np.linalg.eigh(units.T @ units)
     basis = np.ascontiguousarray(vectors_[:, ::-1])
     lead = min(LEADING, width)
     stages = stages_of(values[::-1])
-    # Few vectors still make a hundred tiles or so, to spread over the tasks.
-    cells = 1 << max(0, min(CELLS, len(sample) // 16, max(3 * total // block, min(16, total // 640))).bit_length() - 1)
+    cells = 1 << max(0, min(wanted, len(sample) // PER_CELL).bit_length() - 1)
     # Single-precision input travels as it is; its values are the same in double precision.
     kind = np.float32 if "array<float>" == vectors.schema["embedding"].dataType.simpleString() else np.float64
     cuts = _tree(units @ basis[:, :lead], cells)
@@ -161,20 +163,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     # The boxes number at most CELLS, so the driver can hold them.
     edges_of = [f(F.get("lead", F.lit(k))).alias(f"{name}{k}") for k in range(lead) for name, f in (("lo", F.min), ("hi", F.max))]
     boxes = placed.groupBy("cell").agg(F.count("*").alias("size"), *edges_of).collect()
-    chunks = {b["cell"]: -(-b["size"] // block) for b in boxes}
     lo = np.array([[b[f"lo{k}"] for k in range(lead)] for b in boxes])
     hi = np.array([[b[f"hi{k}"] for k in range(lead)] for b in boxes])
     reach = 2 - 2 * threshold + _SLACK  # the squared distance of unit vectors at the threshold
-    meets = {}
-    for k, b in enumerate(boxes):
+    meets = []
+    for k in range(len(boxes)):
         gap = np.maximum(0, np.maximum(lo - hi[k], lo[k] - hi))
-        meets[b["cell"]] = [boxes[m]["cell"] for m in np.flatnonzero((gap**2).sum(axis=1) <= reach)]
-    size = max(chunks) + 1
-    others = F.lit([[int(c) for c in meets.get(k, [])] for k in range(size)])
-    parts = F.lit([int(chunks.get(k, 0)) for k in range(size)])
-    own = placed.select("id", "n", "vec", "cell", F.pmod(F.xxhash64("id"), F.get(parts, F.col("cell"))).alias("chunk"))
-    own = own.withColumn("other", F.explode(F.get(others, F.col("cell"))))
-    own = own.withColumn("other_chunk", F.explode(F.sequence(F.lit(0), F.get(parts, F.col("other")) - 1)))
+        meets.append(np.flatnonzero((gap**2).sum(axis=1) <= reach))
+    # At most CELLS times CELLS rows of four numbers.
+    mine, theirs, names = np.repeat(np.arange(len(boxes)), list(map(len, meets))), np.concatenate(meets), np.array([b["cell"] for b in boxes])
+    chunks = np.array([-(-b["size"] // block) for b in boxes])
+    table = pa.table({"cell": names[mine], "parts": chunks[mine], "other": names[theirs], "others": chunks[theirs]})
+    pairs = F.broadcast(classes.sparkSession.createDataFrame(table))
+    own = placed.select("id", "n", "vec", "cell").join(pairs, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("parts")))
+    own = own.withColumn("other_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     mine, theirs = F.struct(F.col("cell").alias("c"), F.col("chunk").cast("long").alias("k")), F.struct(F.col("other").cast("long").alias("c"), F.col("other_chunk").cast("long").alias("k"))
     tiled = own.select("id", "n", "vec", F.least(mine, theirs).alias("t"), F.greatest(mine, theirs).alias("u"), F.when(mine == theirs, 0).when(mine < theirs, 1).otherwise(2).alias("side"))
     found = materialise(tiled.groupBy("t", "u").applyInArrow(_matched(basis, stages, threshold, kind), "id long, root long, links long"), "embed-links")

@@ -9,6 +9,7 @@ the key, finds every pair.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,6 +59,30 @@ def as_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _range_of(docs: DataFrame, parts: int) -> Column:
+    """The number of a row's range, ascending in (doc_id, hash of the text), nulls first; about ``parts`` of about equal size."""
+    none = -(1 << 63)
+    key = F.coalesce("doc_id", F.lit(none))
+    cuts = docs.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)] or [0.5], max(10_000, 4 * parts))).first()[0] or []
+    values = sorted(set(cuts))
+    if not values:
+        return F.lit(0)
+    ends = [bisect_right(cuts, v) for v in values]  # cuts up to each value, itself included
+    array = lambda xs: F.lit(xs).cast("array<bigint>")
+    # Binary search: how many values are not above the key.
+    steps = [1 << k for k in reversed(range(len(values).bit_length()))]
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: at + F.when(F.coalesce(F.get(array(values), at + step - 1) <= key, F.lit(False)), step).otherwise(0))
+
+    def placed(at: Column) -> Column:
+        end, start = F.coalesce(F.get(array(ends), at - 1), F.lit(0)), F.coalesce(F.get(array(ends), at - 2), F.lit(0))
+        # A value that is several cuts fills several ranges; they share its rows by the top bits of the hash.
+        many = (F.get(array(values), at - 1) == key) & (F.col("doc_id").isNull() | (F.col("doc_id") != none))
+        top = F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(none)), 33)
+        return F.when(many, start + 1 + F.shiftright(top * (end - start), 31)).otherwise(end).cast("int")
+
+    return F.get(F.transform(F.array(found), placed), F.lit(0))
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Of (doc_id, text): doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited, near_next.
 
@@ -66,22 +91,24 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     ids follow each other by text, null ids come first, null texts are empty. A text without words has fingerprint zero.
     Other columns are ignored; an empty table gives no rows.
 
-    Documents are dealt out once, by ranges of doc_id between quantiles; each range also gets a copy of the row that
-    starts the next one. Everything after that stays in the range's task.
+    Documents are dealt out once, by ranges of doc_id between quantiles; an id (or the lack of one) that fills more than
+    a range is cut further by the hash of the text. Each range also gets a copy of the row that starts the next one.
+    Everything after that stays in the range's task. Only rows equal in id and text can't be parted.
     """
     spark = docs.sparkSession
     # Four ranges to a task, so that unequal ranges even out.
-    parts = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 4096))
+    parts = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = own.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
-    below = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    own = own.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(below)).withColumn("copy", F.lit(False))
-    # A cut is the id of a document, and the first of its range; the copy goes to the end of the range before.
-    starts = own.where(F.col("doc_id").isin(cuts)).withColumn("part", F.col("part") - 1)
-    first = own.orderBy(*order).limit(1).withColumn("part", F.lit(len(cuts)))
-    rows = own.unionByName(starts.unionByName(first).withColumn("copy", F.lit(True)))
+    own = own.withColumn("part", _range_of(own, parts)).withColumn("copy", F.lit(False))
+    # As few rows on the driver as there are ranges: where each range starts, and which range comes before it.
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("id"), "doc_id", F.xxhash64("text").alias("h")))
+    starts = sorted((r["part"], r["least"]["doc_id"], r["least"]["h"]) for r in own.groupBy("part").agg(least.alias("least")).collect())
+    before = [(part, doc_id, h, starts[k - 1][0]) for k, (part, doc_id, h) in enumerate(starts)]
+    before = spark.createDataFrame(before, "part int, doc_id long, h long, into int").alias("b")
+    same = (F.col("o.part") == F.col("b.part")) & F.col("o.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("o.text") == F.col("b.h"))
+    firsts = own.alias("o").join(F.broadcast(before), same).groupBy("into").agg(F.min(F.struct(F.col("o.text").alias("text"), F.col("o.doc_id").alias("doc_id"))).alias("one"))
+    rows = own.unionByName(firsts.select("one.doc_id", "one.text", F.col("into").alias("part"), F.lit(True).alias("copy")))
     line = Window.partitionBy("part").orderBy("copy", *order)
     rows = rows.withColumn("following", F.lead("text").over(line)).withColumn("at", F.row_number().over(line))
     size, gone = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")

@@ -36,11 +36,14 @@ def test_chat_round_trip(spark, tmp_path):
     rows = [(c, t, random.Random(c * 31 + t).choice(["user", "assistant", "system", None, "a\nb\\n<|", "\\"]), odd[(c * 5 + t) % len(odd)]) for c in range(12) for t in range(9)]
     rows += [(3, 2, "assistant", "tie"), (3, 2, "assistant", "tie"), (None, None, "assistant", "lost"), (70, None, "assistant", "first")]
     rows += [(80, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(70)]
+    rows += [(-(1 << 63), 1, "assistant", "least id")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("tree", F.lit("clash"))
     df.write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r.conv_id: r for r in queries.op2_chat_format(spark, str(tmp_path)).collect()}
     want = brute_chat([*rows, (-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)])
     assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in got.items()} == want
+    df.limit(0).write.parquet(f"{tmp_path}/none/conversations.parquet")
+    assert [r.conv_id for r in queries.op2_chat_format(spark, f"{tmp_path}/none").collect()] == [-1]
 
 
 def test_chat_branches_are_ranked(spark):
@@ -63,7 +66,10 @@ def test_chat_branches_are_ranked(spark):
 
 # Document fingerprints.
 def test_fingerprints(spark):
-    df = documents(spark, [(12, prose(200, 5), None, None, 0), (12, prose(200, 6), None, None, 0), (13, "last of all", None, None, 0)])
+    hot = [(i, f"{prose(5, 300 + k)} {k}", None, None, 0) for k, i in enumerate([None] * 60 + [21] * 50 + [22] * 3)]
+    df = documents(spark, [(12, prose(200, 5), None, None, 0), (12, prose(200, 6), None, None, 0), (13, "last of all", None, None, 0), (-(1 << 63), "least", None, None, 0), *hot])
+    ranges = df.select(fingerprints._range_of(df, 16).alias("part"), "doc_id").collect()
+    assert len({r.part for r in ranges if r.doc_id is None}) > 3 and len({r.part for r in ranges if r.doc_id == 21}) > 3, "a crowded id is cut"
     got = fingerprints.edited_fingerprints(df).collect()
     rows = sorted(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
     want = []
