@@ -41,17 +41,25 @@ _TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:AKIA|ASIA)[0-9A-Z]{16})
 _WORDS = "(?i:" + "|".join(SECRET_WORDS) + ")"
 _KNOWN = r"(?<![A-Za-z0-9+/_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]|xox[abprs]-|AIza)"
 _STOP = r"[.):\]}>]{1,3}+(?:[\s\"',;]|$)"
+_SIGN, _QUOTES = r"(?::=|=>|==|[=:])", r"[\"'\]]{0,2}"
 #: The value after a secret word, up to a further name=value, a known form or the punctuation at its end.
-_SECRET_VALUE = (
-    rf"(?<=[\s:=\"'>])(?<={_WORDS}[\"'\]]{{0,2}}(?:\s{{0,3}}(?::=|=>|==|[=:])\s{{0,3}}|\s{{1,3}}(?i:is\s{{1,3}})?)[\"']?)(?![=:])(?!(?i:bearer|basic|is)\s)"
-    rf"[^\s\"',;](?:(?!{_STOP}|[&?][A-Za-z_-]{{1,40}}+=|{_KNOWN})[^\s\"',;]){{5,}}+"
-)
-#: The value after any other assignment, up to a run of token characters.
-_VALUE = rf"(?<=[=:]\s{{0,3}}[\"']?)(?!//)(?:(?!{_STOP}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{12}})[^\s\"'&?=:;,<>(){{}}\[\]]){{6,}}+"
-#: A private key from its first line to its last, and the password before the @ of an address.
+_ANNOUNCED = rf"(?![=:])(?!(?i:bearer|basic|is)\s)[^\s\"',;](?:(?!{_STOP}|[&?][A-Za-z_-]{{1,40}}+=|{_KNOWN})[^\s\"',;]){{5,}}+"
+_ENDS = "(?i:" + "|".join(sorted({w[-3:] for w in SECRET_WORDS})) + ")"
+#: A private key from its first line to its last.
 _BLOCK = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----\s++(?:[A-Za-z-]{1,24}: [^\n]{0,200}+\s++){0,4}+[A-Za-z0-9+/=\s]++-----END [A-Z ]{0,24}PRIVATE KEY-----"
-_LOGIN = r"(?<=://[A-Za-z0-9._%+-]{1,40}:)[^\s@/:\"'<>]{4,}+(?=@)"
-CANDIDATE = f"{_BLOCK}|{_LOGIN}|{_SECRET_VALUE}|{_TOKEN}|{_VALUE}"
+#: A match is a candidate and, before it, the sign or the gap that announces it (LEAD). Every form begins with a cheap
+#: test, so that what looks back at the words before is tried at few places: the password of an address with a login, a
+#: value after a secret word and a sign, one after a secret word and a gap, one after any sign up to a run of token
+#: characters, and such a run.
+CANDIDATE = "|".join([
+    _BLOCK,
+    r"(?=:)(?<=://[A-Za-z0-9._%+-]{1,40}):[^\s@/:\"'<>]{4,}+(?=@)",
+    rf"(?=[:=])(?<={_WORDS}{_QUOTES}\s{{0,3}}){_SIGN}\s{{0,3}}[\"']?{_ANNOUNCED}",
+    rf"(?=\s)(?<=[\"'\]]|{_ENDS})(?<={_WORDS}{_QUOTES})\s{{1,3}}(?i:is\s{{1,3}})?[\"']?{_ANNOUNCED}",
+    _TOKEN,
+    rf"[=:]\s{{0,3}}[\"']?(?!//)(?:(?!{_STOP}|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{12}})[^\s\"'&?=:;,<>(){{}}\[\]]){{6,}}+",
+])
+LEAD = rf"^(?:{_SIGN}\s{{0,3}}[\"']?|\s{{1,3}}(?i:is\s{{1,3}})?[\"']?)"
 #: How keys of known services begin.
 _FORMS = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^glpat-[A-Za-z0-9_-]{16,}$|^(?:npm|hf)_[A-Za-z0-9]{30,}$|^sk-[A-Za-z0-9_-]{20,}$|^xox[abprs]-|^AIza[0-9A-Za-z_-]{35}$|^eyJ[A-Za-z0-9_-]{10,}|^-----BEGIN "
 
@@ -168,7 +176,7 @@ def fitted(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: in
     from pyspark.ml.feature import VectorAssembler
 
     own = findings.select("secret", *[v.cast("double").alias(k) for k, v in features(F.col("candidate"), F.col("before"), F.col("after")).items()])
-    own = materialise(own, "secret-findings")  # fitting reads them several times
+    own = materialise(own.coalesce(1), "secret-findings")  # in one part, so that every cluster draws the same trees
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(own)
     return RandomForestClassifier(labelCol="secret", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="5").fit(vectors.select("secret", "features")), vectors
 
@@ -256,12 +264,22 @@ def redacted(docs: DataFrame, trees: list | None = None) -> DataFrame:
         kept = F.transform(x["p"], lambda p, i: F.concat(p, F.coalesce(F.when(F.get(x["s"], i) > VERDICT, F.lit(REPLACEMENT)).otherwise(F.get(x["c"], i)), F.lit(""))))
         return F.struct(F.size(x["c"]).cast("bigint").alias("n"), found.alias("found"), F.array_join(kept, "").alias("text"))
 
-    cut = F.struct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split(text, CANDIDATE, -1).alias("p"))
-    result = F.array(cut)
-    for step in (ended, scanned, measured, summed, placed):
+    def parted(x: Column) -> Column:
+        """Leads go to the text before."""
+        leads = F.transform(x["m"], lambda m: F.char_length(F.regexp_extract(m, LEAD, 0)))
+        return F.struct(x["m"].alias("m"), x["p"].alias("p"), leads.alias("l"))
+
+    def cut(x: Column) -> Column:
+        c = F.transform(x["m"], lambda m, i: F.substr(m, F.get(x["l"], i) + 1))
+        p = F.transform(x["p"], lambda p, i: F.concat(p, F.coalesce(F.left(F.get(x["m"], i), F.get(x["l"], i)), F.lit(""))))
+        return F.struct(c.alias("c"), p.alias("p"))
+
+    result = F.array(F.struct(F.col("__met").alias("m"), F.split(text, CANDIDATE, -1).alias("p")))
+    for step in (parted, cut, ended, scanned, measured, summed, placed):
         result = F.transform(result, step)
     result = F.get(result, F.lit(0))
-    own = docs.withColumn("__scan", F.when(text.rlike(CANDIDATE), result))
+    own = docs.withColumn("__met", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    own = own.withColumn("__scan", F.when(F.size("__met") > 0, result))
     none = F.array().cast("array<struct<start:bigint,end:bigint,score:double>>")
     keep = [F.col(f"`{c}`") if c != "text" else F.coalesce("__scan.text", "text").alias("text") for c in docs.columns if c not in ("n_candidates", "secrets")]
     return own.select(*keep, F.coalesce("__scan.n", F.lit(0)).alias("n_candidates"), F.coalesce("__scan.found", none).alias("secrets"))
