@@ -138,16 +138,16 @@ def block_masks(radius: int = RADIUS) -> list[int]:
 def within(queries: DataFrame, fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs (query, fp, distance) of distinct fingerprints of ``queries`` and of ``fingerprints`` (column fp) within the radius.
 
-    Every pair comes once: from the first table in which it meets. Queries are a stated set; no other pairs are made.
+    Every pair comes once, in however many tables it meets. Queries are a stated set; no other pairs are made.
     """
     masks = [m - (1 << 64) * (m >> 63) for m in block_masks(radius)]
-    tables = F.posexplode(F.lit(masks).cast("array<bigint>")).alias("table", "mask")
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
+        # A generator of its own on each side: shared, the two sides' columns could not be told apart.
+        tables = F.posexplode(F.lit(masks).cast("array<bigint>")).alias("table", "mask")
         return df.select(F.col("fp").alias(name)).distinct().select(name, tables).select(name, "table", F.col(name).bitwiseAND(F.col("mask")).alias("key"))
 
     left, right = keyed(queries, "query"), keyed(fingerprints, "fp")
-    differ = F.col("query").bitwiseXOR(F.col("fp"))
-    first = F.array_position(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: differ.bitwiseAND(m) == 0), True) - 1
-    met = left.join(right, ["table", "key"]).where((F.bit_count(differ) <= radius) & (first == F.col("table")))
-    return met.select("query", "fp", F.bit_count(differ).cast("int").alias("distance"))
+    distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp"))).cast("int")
+    met = left.join(right, ["table", "key"]).select("query", "fp", distance.alias("distance"))
+    return met.where(F.col("distance") <= radius).distinct()
