@@ -74,16 +74,16 @@ _text("scalar_subquery", "customer |> filter(fn(c) => c.c_acctbal > (customer |>
 # Filters.
 _text("filter_simple", "orders |> filter(fn(row) => row.orders.o_totalprice > 200000) |> select(o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_totalprice > 200000")
 _text("filter_bare", "orders |> filter(o_orderstatus = 'F') |> filter() |> select(o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
-_text("filter_and_or", "part |> filter(fn(r) => r.p_size < 5 or r.p_size > 45 and r.p_retailprice > 1200) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE p_size < 5 OR p_size > 45 AND p_retailprice > 1200")
+_text("filter_and_or", "part |> filter(fn(r) => r.p_size < 5 or r.p_size > 45 and r.p_retailprice > 950) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE p_size < 5 OR p_size > 45 AND p_retailprice > 950")
 _text("filter_multi", "part |> filter(fn(r) => r.p_size < 9 or r.p_size > 41) |> filter(fn(r) => r.p_partkey < 900 or r.p_partkey > 1500) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE (p_size < 9 OR p_size > 41) AND (p_partkey < 900 OR p_partkey > 1500)")
 _text("filter_after_select", "part |> select(p_partkey, p_size * 2 as twice) |> filter(fn(r) => r.p_size > 40 and r.twice < 92)", "SELECT p_partkey, p_size * 2 AS twice FROM part WHERE p_size > 40 AND p_size * 2 < 92")
-_text("filter_like", "part |> filter(fn(r) => r.p_type like '%BRASS%' or r.p_name like 'a%') |> select(p_partkey, p_type)", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%BRASS%' OR p_name LIKE 'a%'")
+_text("filter_like", "part |> filter(fn(r) => r.p_type like '%DI%' or r.p_name like 'b%') |> select(p_partkey, p_type)", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%DI%' OR p_name LIKE 'b%'")
 _text("filter_in_list", "orders |> filter(fn(r) => r.o_orderstatus in ('F', 'P')) |> select(o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P')")
 _text("filter_in_single", "orders |> filter(fn(r) => r.o_orderstatus in ('O')) |> select(o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O')")
-_text("filter_null_check", "customer |> left_join(orders, on = customer.c_custkey = orders.o_custkey) |> filter(fn(r) => r.orders.o_orderkey is null and r.c_name is not null) |> select(c_custkey)", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL AND c_name IS NOT NULL")
+_text("filter_null_check", "customer |> left_join(orders, on = customer.c_custkey = orders.o_custkey and orders.o_totalprice > 300000) |> filter(fn(r) => r.orders.o_orderkey is null and r.c_name is not null) |> select(c_custkey)", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o_orderkey IS NULL AND c_name IS NOT NULL")
 _text("filter_between", "part |> filter(fn(r) => r.p_size between 10 and 12 and r.p_partkey not between 100 and 1000) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 12 AND p_partkey NOT BETWEEN 100 AND 1000")
 _text("filter_not", "part |> filter(fn(r) => not (r.p_size > 10 or r.p_size = 3) and r.p_type not like 'S%' and r.p_size not in (1, 2)) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE NOT (p_size > 10 OR p_size = 3) AND p_type NOT LIKE 'S%' AND p_size NOT IN (1, 2)")
-_text("filter_case_predicate", "part |> filter(fn(r) => case when r.p_size > 40 then r.p_retailprice > 1300 when r.p_size > 20 then r.p_retailprice > 1400 else r.p_retailprice > 1450 end) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE CASE WHEN p_size > 40 THEN p_retailprice > 1300 WHEN p_size > 20 THEN p_retailprice > 1400 ELSE p_retailprice > 1450 END")
+_text("filter_case_predicate", "part |> filter(fn(r) => case when r.p_size > 40 then r.p_retailprice > 930 when r.p_size > 20 then r.p_retailprice > 950 else r.p_retailprice > 970 end) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE CASE WHEN p_size > 40 THEN p_retailprice > 930 WHEN p_size > 20 THEN p_retailprice > 950 ELSE p_retailprice > 970 END")
 _OPTIONAL = "customer |> filter(fn(r) => (@segment is null or r.c_mktsegment = @segment) and r.c_nationkey >= @from) |> select(c_custkey)"
 _text("filter_param_optional", _OPTIONAL, "SELECT c_custkey FROM customer WHERE c_nationkey >= 20", {"segment": None, "from": 20})
 _text("filter_param_given", _OPTIONAL, "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey >= 20", {"segment": "BUILDING", "from": 20})
@@ -100,8 +100,7 @@ ORACLE_SQL["filter_udf_predicate"] = "SELECT c_custkey FROM customer WHERE c_cus
 # Joins.
 _text("join_inner", "customer |> join(nation, on = customer.c_nationkey = nation.n_nationkey) |> select(c_custkey, n_name)", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 _text("join_left", "customer |> left_join(orders, on = customer.c_custkey = orders.o_custkey and orders.o_orderstatus = 'P') |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
-_text("join_right", "orders |> right_join(customer, on = orders.o_custkey = customer.c_custkey) |> filter(fn(r) => r.c_custkey < 100) |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey WHERE c_custkey < 100")
-_text("join_right_all", "orders |> right_join(customer, on = orders.o_custkey = customer.c_custkey) |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
+_text("join_right", "orders |> right_join(customer, on = orders.o_custkey = customer.c_custkey) |> select(c_custkey, o_orderkey)", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey")
 _text("join_full", "supplier |> full_join(customer, on = supplier.s_suppkey = customer.c_custkey and supplier.s_nationkey = customer.c_nationkey) |> select(s_suppkey, c_custkey)", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND s_nationkey = c_nationkey")
 _text("join_cross", "region |> cross_join(nation) |> select(r_name, n_name)", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _text("join_chain", "region |> join(nation, on = region.r_regionkey = nation.n_regionkey) |> join(supplier, on = nation.n_nationkey = supplier.s_nationkey) |> select(r_name, n_name, s_name)", "SELECT r_name, n_name, s_name FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON n_nationkey = s_nationkey")
@@ -121,9 +120,9 @@ _text(
 # Predicates over other rows.
 _text("exists_correlated", "customer |> filter(fn(c) => exists(orders |> filter(fn(o) => o.orders.o_custkey = c.customer.c_custkey and o.orders.o_totalprice > 200000))) |> select(c_custkey)", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 _text("exists_inequality", "nation |> filter(fn(n) => exists(region |> filter(fn(r) => r.region.r_regionkey * 4 > n.nation.n_nationkey and r.region.r_regionkey <> n.nation.n_regionkey))) |> select(n_name)", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM region WHERE r_regionkey * 4 > n_nationkey AND r_regionkey <> n_regionkey)")
-_text("not_exists", "customer |> filter(fn(c) => not exists(orders |> filter(fn(o) => o.o_custkey = c.c_custkey))) |> select(c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_text("not_exists", "customer |> filter(fn(c) => not exists(orders |> filter(fn(o) => o.o_custkey = c.c_custkey and o.o_totalprice > 300000))) |> select(c_custkey)", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 _text("in_subquery", "customer |> filter(fn(c) => c.customer.c_custkey in (orders |> filter(fn(o) => o.orders.o_orderstatus = 'P') |> select(orders.o_custkey))) |> select(c_custkey)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
-_text("not_in_subquery", "part |> filter(fn(p) => p.p_partkey not in (lineitem |> filter(fn(l) => l.l_quantity > 10) |> select(l_partkey))) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)")
+_text("not_in_subquery", "part |> filter(fn(p) => p.p_partkey not in (lineitem |> filter(fn(l) => l.l_quantity > 45) |> select(l_partkey))) |> select(p_partkey)", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 
 # Aggregates.
 _text("group_count", "orders |> group_by(o_orderstatus) |> select(o_orderstatus, count(*) as n)", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
@@ -153,7 +152,7 @@ _sql("window_named_sql", "SELECT o_orderkey, rank() OVER w AS r, count(*) OVER w
 _sql("window_analytic_sql", "SELECT p_partkey, first_value(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS f, nth_value(p_size, 2) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n2, percent_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS pr FROM part")
 _text(
     "top_n_per_group",
-    "let ranked = orders |> select(o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place)\nrange(0, 1) |> cross_join(ranked) |> filter(fn(r) => r.ranked.place <= 2) |> select(ranked.o_custkey, ranked.o_orderkey, ranked.place)",
+    "let ranked = orders |> select(o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as place)\nranked |> filter(fn(r) => r.place <= 2)",
     "SELECT o_custkey, o_orderkey, place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 2",
 )
 
@@ -170,7 +169,8 @@ _text("union_mixed", "region |> select(r_regionkey as k) |> union_all(region |>
 _text("union_let", "let a = customer |> filter(fn(c) => c.c_nationkey = 3) |> select(c_custkey as k)\nlet b = supplier |> select(s_suppkey as k)\na |> union(b) |> order_by(k) |> limit(30)", "SELECT c_custkey AS k FROM customer WHERE c_nationkey = 3 UNION SELECT s_suppkey FROM supplier ORDER BY k LIMIT 30")
 _text("intersect_step", "customer |> select(c_nationkey as k) |> intersect(supplier |> select(s_nationkey as k))", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 _sql("intersect_sql", "SELECT l_suppkey AS k FROM lineitem WHERE l_quantity > 40 INTERSECT SELECT s_suppkey FROM supplier")
-_sql("except_sql", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+_sql("except_sql", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+_text("except_step", "customer |> select(c_nationkey as k) |> except(supplier |> filter(s_acctbal > 5000) |> select(s_nationkey as k))", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 _text("cte_let", "with busy as (orders |> group_by(orders.o_custkey) |> having(fn(g) => count(*) > 12) |> select(orders.o_custkey))\ncustomer |> join(busy, on = customer.c_custkey = busy.o_custkey) |> select(c_custkey, c_name)", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 12)")
 _sql("recursive_cte_sql", "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 20) SELECT i, i * i AS square FROM n")
 _sql("natural_using_sql", "SELECT n_name, x.c FROM nation JOIN (SELECT c_nationkey AS n_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey) x USING (n_nationkey)")
@@ -200,10 +200,10 @@ _text("null_funcs", "nation |> select(n_nationkey, coalesce(nullif(n_regionkey,
 # The fluent API.
 _fluent("builder_where_order_take", lambda e: e.from_("orders").select("o_orderkey", "o_totalprice").where("o_totalprice", ">", 100000).and_where("o_orderstatus", "=", "F").order_by_descending("o_totalprice").then_by("o_orderkey").skip(3).take(15).rows(), "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000 AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 3")
 _fluent("builder_join", lambda e: e.from_("customer").join("nation", "customer.c_nationkey", "nation.n_nationkey").left_join("region", "nation.n_regionkey", "r.r_regionkey", "r").select("c_custkey", "n_name as nation_name", "r.r_name").where(lambda r: r.c_acctbal > 500).rows(), "SELECT c_custkey, n_name AS nation_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 500")
-_fluent("builder_and_or_precedence", lambda e: e.from_("part").select("p_partkey").where("p_size", "=", 1).or_where("p_size", ">", 40).and_where("p_retailprice", "<", 1200).rows(), "SELECT p_partkey FROM part WHERE p_size = 1 OR (p_size > 40 AND p_retailprice < 1200)")
+_fluent("builder_and_or_precedence", lambda e: e.from_("part").select("p_partkey").where("p_size", "=", 1).or_where("p_size", ">", 40).and_where("p_retailprice", "<", 990).rows(), "SELECT p_partkey FROM part WHERE p_size = 1 OR (p_size > 40 AND p_retailprice < 990)")
 _fluent("builder_group", lambda e: e.from_("orders").group_by("o_orderstatus").select("o_orderstatus", call("count", "*").alias("n")).having(call("count", "*") > 1).rows(), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus HAVING count(*) > 1")
 _fluent("builder_distinct_union", lambda e: e.from_("customer").select("c_nationkey").distinct().union(e.from_("supplier").select("s_nationkey")).rows(), "SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier")
 _fluent("predicate_builder_or", lambda e: e.from_("customer").select("c_custkey").where(any_of(*[col("c_mktsegment") == s for s in ("BUILDING", "MACHINERY")]) & (col("c_nationkey") < 10)).rows(), "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey < 10")
 _fluent("predicate_builder_not", lambda e: e.from_("customer").select("c_custkey").where(~all_of(col("c_nationkey") > 3, col("c_acctbal") > 0) & always() | never()).rows(), "SELECT c_custkey FROM customer WHERE NOT (c_nationkey > 3 AND c_acctbal > 0)")
-_fluent("predicate_strings", lambda e: e.from_("part").select("p_partkey").where(col("p_type").contains("BRASS") | col("p_name").startswith("b") | col("p_name").isin()).rows(), "SELECT p_partkey FROM part WHERE contains(p_type, 'BRASS') OR starts_with(p_name, 'b')")
+_fluent("predicate_strings", lambda e: e.from_("part").select("p_partkey").where(col("p_type").contains("DI") | col("p_name").startswith("b") | col("p_name").isin()).rows(), "SELECT p_partkey FROM part WHERE contains(p_type, 'DI') OR starts_with(p_name, 'b')")
 _fluent("predicate_null", lambda e: e.from_("orders").select("o_orderkey").where(col("o_custkey") != None).where(col("o_totalprice").between(1000, 90000)).rows(), "SELECT o_orderkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice BETWEEN 1000 AND 90000")  # noqa: E711

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from millrace.schema import defaults
 from millrace.schema.diff import diff
 from millrace.schema.model import Policy, Schema, Table, of_struct
 from millrace.schema.security import Who, check_write, secure
+from millrace.sources.scratch import shared_folder
 from millrace.streaming.pull import sessions, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,28 +70,28 @@ _on_log("log_materialise", log.state, _LAST.strip() + " SELECT * EXCLUDE (r) FRO
 _on_log("echo_filter", lambda d: log.without_echo(d, "origin2"), "SELECT * FROM log WHERE origin <> 'origin2'")
 
 
-def _pull(d: DataFrame) -> DataFrame:
-    """Pulls the changes up to version 900 in batches; a row per batch that was applied. pull_whole_log pulls everything."""
-    return _pulled(d.where("version <= 900"), 200)
-
-
 def _pulled(d: DataFrame, size: int) -> DataFrame:
     session, seen = coordinator.Session("origin1"), []
     coordinator.pull(session, d, lambda b: seen.append((len(seen) + 1, b.from_version, b.to_version, b.has_more)), size)
     return d.sparkSession.createDataFrame(seen, "batch int, from_version long, to_version long, has_more boolean")
 
 
-_on_log("pull_batches", _pull, """
-, numbered AS (SELECT version, (row_number() OVER (ORDER BY version) - 1) // 200 AS b, count(*) OVER () AS n FROM log WHERE version > 0 AND version <= 900)
-, cut AS (SELECT b, max(version) AS to_version, (b + 1) * 200 < any_value(n) AS has_more FROM numbered GROUP BY b)
-SELECT CAST(b + 1 AS INTEGER) AS batch, coalesce(lag(to_version) OVER (ORDER BY b), 0) AS from_version, to_version, has_more FROM cut""".strip())
-#: Changes in a batch of pull_whole_log; each batch is a few jobs, so their number grows with the log over this size.
+#: Changes in a batch; each batch is a few jobs, so their number grows with the log over this size.
 WHOLE_BATCH = 10_000
-_on_log("pull_whole_log", lambda d: _pulled(d, WHOLE_BATCH), f"""
+_on_log("pull_batches", lambda d: _pulled(d, WHOLE_BATCH), f"""
 , numbered AS (SELECT version, (row_number() OVER (ORDER BY version) - 1) // {WHOLE_BATCH} AS b, count(*) OVER () AS n FROM log WHERE version > 0)
 , cut AS (SELECT b, max(version) AS to_version, (b + 1) * {WHOLE_BATCH} < any_value(n) AS has_more FROM numbered GROUP BY b)
 SELECT CAST(b + 1 AS INTEGER) AS batch, coalesce(lag(to_version) OVER (ORDER BY b), 0) AS from_version, to_version, has_more FROM cut""".strip())
-_on_log("push_own_changes", lambda d: d.where("origin = 'origin3'"), "SELECT * FROM log WHERE origin = 'origin3'")
+
+
+def _pushed(d: DataFrame) -> DataFrame:
+    """The changes that push() sends, batch by batch."""
+    session, sent = coordinator.Session("origin3"), []
+    coordinator.push(session, d, lambda b: sent.append(b.changes), WHOLE_BATCH)
+    return reduce(DataFrame.unionByName, sent, d.limit(0))
+
+
+_on_log("push_own_changes", _pushed, "SELECT * FROM log WHERE origin = 'origin3'")
 
 # Conflicts: last changes of even and of odd versions stand for two replicas.
 _SIDES = ", a AS (SELECT *, row_number() OVER (PARTITION BY table_name, pk_value ORDER BY version DESC) AS r FROM log WHERE version % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY table_name, pk_value ORDER BY version DESC) AS r FROM log WHERE version % 2 = 1), pairs AS (SELECT a AS l, b AS m FROM a JOIN b ON a.table_name = b.table_name AND a.pk_value = b.pk_value AND a.origin <> b.origin AND a.r = 1 AND b.r = 1), won AS (SELECT unnest({}) FROM pairs) SELECT * EXCLUDE (r) FROM won"
@@ -166,13 +168,9 @@ _on_log(
 _on_log("mapping_state", lambda d: tracking.advance(d.sparkSession.createDataFrame([("user", 600, "t", 5)], tracking.STATE), mapping.apply(d, CONFIG, "pull").where("version > 600"), "now"), "SELECT 'user' AS mapping_id, max(version) AS last_synced_version, 'now' AS last_sync_timestamp, count(*) + 5 AS records_synced FROM log WHERE table_name = 'User' AND version > 600")
 
 # Clients and subscriptions, made of customers.
-_CLIENTS_SQL = "SELECT c_name AS origin_id, CAST(c_custkey * 3 AS BIGINT) AS last_sync_version, '2024-' || CASE WHEN c_custkey % 9 + 1 < 10 THEN '0' ELSE '' END || CAST(c_custkey % 9 + 1 AS STRING) || '-15T00:00:00Z' AS last_sync_timestamp, '2024-01-01T00:00:00Z' AS created_at FROM customer WHERE c_custkey > 50"
-_add("tombstone_safe_version", lambda s, d: s.createDataFrame([(clients.safe_version(Engine(s, d).sql(_CLIENTS_SQL)),)], "safe long"), "SELECT min(c_custkey) * 3 AS safe FROM customer WHERE c_custkey > 50")
+_CLIENTS_SQL = "SELECT c_name AS origin_id, CAST(c_custkey * 3 + 150 AS BIGINT) AS last_sync_version, '2024-' || CASE WHEN c_custkey % 9 + 1 < 10 THEN '0' ELSE '' END || CAST(c_custkey % 9 + 1 AS STRING) || '-15T00:00:00Z' AS last_sync_timestamp, '2024-01-01T00:00:00Z' AS created_at FROM customer"
+_add("tombstone_safe_version", lambda s, d: s.createDataFrame([(clients.safe_version(Engine(s, d).sql(_CLIENTS_SQL)),)], "safe long"), "SELECT CAST(min(c_custkey) * 3 + 150 AS BIGINT) AS safe FROM customer")
 _add("stale_clients", lambda s, d: clients.stale(Engine(s, d).sql(_CLIENTS_SQL), "2024-09-20T12:00:00Z"), f"WITH c AS ({_CLIENTS_SQL}) SELECT * FROM c WHERE CAST(substr(last_sync_timestamp, 1, 19) AS TIMESTAMP) < TIMESTAMP '2024-09-20 12:00:00' - INTERVAL 90 DAY")
-# The same of all customers; versions are shifted, so that the least isn't trivial.
-_ALL_CLIENTS_SQL = _CLIENTS_SQL.replace("c_custkey * 3", "c_custkey * 3 + 150").removesuffix(" WHERE c_custkey > 50")
-_add("tombstone_safe_version_all", lambda s, d: s.createDataFrame([(clients.safe_version(Engine(s, d).sql(_ALL_CLIENTS_SQL)),)], "safe long"), "SELECT CAST(min(c_custkey) * 3 + 150 AS BIGINT) AS safe FROM customer")
-_add("stale_clients_all", lambda s, d: clients.stale(Engine(s, d).sql(_ALL_CLIENTS_SQL), "2024-09-20T12:00:00Z"), f"WITH c AS ({_ALL_CLIENTS_SQL}) SELECT * FROM c WHERE CAST(substr(last_sync_timestamp, 1, 19) AS TIMESTAMP) < TIMESTAMP '2024-09-20 12:00:00' - INTERVAL 90 DAY")
 _on_log("tombstone_purge", lambda d: clients.purge(d, 700), "SELECT * FROM log WHERE NOT (operation = 'delete' AND version <= 700)")
 
 
@@ -321,13 +319,15 @@ _add(
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tumbling windows once more, from a stream that ends when it has caught up."""
+    """The tumbling windows once more, from a stream that ends when it has caught up; its last state is a table in the
+    folder that the cluster shares."""
     path = f"{sf_dir}/events.parquet"
     # As a pattern the path may be one file as well as a folder of files.
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet").withColumn("value", F.round(F.col("value") * 100, 0))
-    name = f"tumbling_{uuid.uuid4().hex}"
-    windowed_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    out = f"{shared_folder(spark)}/tumbling-{uuid.uuid4().hex}"
+    writer = windowed_counts(events).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-checkpoint")
+    writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _add("events_tumbling_stream", _streamed, ORACLE_SQL["events_tumbling"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,30 +31,50 @@ class Applied:
     deferred: dict[str, int] = field(default_factory=dict)
 
 
+def _folded(changes: DataFrame, version: Column | None) -> DataFrame:
+    """Of each row (pk_value) what its changes in order come to: ``first``, its last image, insert or delete, and ``then``,
+    the update with the highest Version after it, of equal ones the earliest.
+
+    An update without a Version counts as an image. Both are pre-aggregated where they lie, so hot rows move once a task.
+    """
+    if version is None:
+        last = latest(changes)
+        one = F.struct("operation", "payload")
+        return last.select("pk_value", one.alias("first"), F.lit(None).cast(last.select(one).schema[0].dataType).alias("then"))
+    change = F.struct("operation", "payload")
+    own = changes.select("pk_value", "version", change.alias("change"), F.when(F.lower("operation") == "update", version).alias("number"))
+    whole = own.where("number is null").groupBy("pk_value").agg(F.max("version").alias("since"), F.max_by("change", "version").alias("first"))
+    later = own.where("number is not null").join(whole.select("pk_value", "since"), "pk_value", "left").where(F.col("version") > F.coalesce("since", F.lit(-1)))
+    best = later.groupBy("pk_value").agg(F.max_by("change", F.struct("number", -F.col("version"))).alias("then"))
+    return whole.join(best, "pk_value", "full").select("pk_value", "first", "then")
+
+
 def merge(target: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """A table after its changes: rows keep their last image, deletes go.
+    """A table after its changes, as if they were applied one by one in the order of their versions.
 
-    An update of a table with a column Version counts only if the row has none or a lower one. Images lacking a column
-    leave it null on new rows and as it was on old ones.
+    Rows keep their last image, deletes go. An update of a table with a column Version counts only if the row has none or
+    a lower one at that point. Images lacking a column leave it null on new rows and as it was on old ones.
     """
     kind = T.StructType([T.StructField(f.name, f.dataType) for f in target.schema])
-    last = latest(changes)
-    key_type = target.schema[key].dataType
-    new = last.select(F.get(F.map_values(F.from_json("pk_value", "map<string,string>")), F.lit(0)).cast(key_type).alias("__key"), F.col("operation").alias("__op"), F.from_json("payload", kind).alias("__new"), F.json_object_keys("payload").alias("__keys"))
-    old = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("__old"), F.col(key).alias("__key"))
-    both = old.join(new, "__key", "full")
-    stale = F.lit(False)
     versions = [c for c in target.columns if c.lower() == "version"]
-    if versions:
-        stale = F.coalesce((F.col("__op") == "update") & (F.col("__old")[versions[0]] >= F.col("__new")[versions[0]]), F.lit(False))
-    kept = both.where(F.col("__op").isNull() | (F.col("__op") != "delete"))
-    keep_old = F.col("__op").isNull() | stale
-    columns = []
-    for f in target.schema:
-        given = F.coalesce(F.array_contains("__keys", f.name), F.lit(False))
-        image = F.when(given, F.col("__new")[f.name]).otherwise(F.col("__key") if f.name == key else F.col("__old")[f.name])
-        columns.append(F.when(keep_old, F.col("__old")[f.name]).otherwise(image).cast(f.dataType).alias(f.name))
-    return kept.select(*columns)
+    number = F.from_json("payload", kind)[versions[0]] if versions else None
+    new = _folded(changes, number).select(F.get(F.map_values(F.from_json("pk_value", "map<string,string>")), F.lit(0)).cast(target.schema[key].dataType).alias("__key"), "first", "then")
+    old = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("__old"), F.col(key).alias("__key"))
+    both = old.join(new, "__key", "full").withColumn("__there", F.col("__old").isNotNull())
+    both = both.withColumn("__old", F.coalesce("__old", F.lit(None).cast(kind)))
+    for step in ("first", "then"):
+        operation, payload = F.col(step)["operation"], F.col(step)["payload"]
+        image, given, deletes = F.from_json(payload, kind), F.json_object_keys(payload), F.lower(operation) == "delete"
+        counts = operation.isNotNull()
+        if versions:
+            counts = counts & ~F.coalesce((F.lower(operation) == "update") & F.col("__there") & (F.col("__old")[versions[0]] >= image[versions[0]]), F.lit(False))
+        fields = [
+            F.when(~counts, F.col("__old")[f.name]).when(deletes, F.lit(None)).when(F.coalesce(F.array_contains(given, f.name), F.lit(False)), image[f.name])
+            .otherwise(F.col("__key") if f.name == key else F.col("__old")[f.name]).cast(f.dataType).alias(f.name)
+            for f in target.schema
+        ]
+        both = both.select("__key", "first", "then", F.struct(*fields).alias("__old"), F.when(counts, ~deletes).otherwise(F.col("__there")).alias("__there"))
+    return both.where("__there").select("__old.*")
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, key: str) -> DataFrame:

@@ -23,6 +23,11 @@ def check_resync(client_version: int, oldest: int) -> None:
         raise FullResyncRequired(client_version, oldest)
 
 
+def behind(clients: DataFrame, oldest: int) -> DataFrame:
+    """Clients that need a full resync: they ask for changes from before the oldest that is kept."""
+    return clients.where(F.col("last_sync_version") < oldest)
+
+
 def stale(clients: DataFrame, now: str, days: int = 90) -> DataFrame:
     """Clients whose last contact is more than ``days`` before ``now`` (ISO time in UTC)."""
     limit = (datetime.fromisoformat(now.replace("Z", "+00:00")) - timedelta(days=days)).replace(tzinfo=None).isoformat()

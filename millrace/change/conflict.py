@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.change.errors import UnresolvedConflict
-from millrace.change.log import COLUMNS
+from millrace.change.log import COLUMNS, latest
 
 STRATEGIES = ("last_write_wins", "server_wins", "client_wins")
 
 
 def conflicts(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """Pairs (local.*, remote.* as structs) of changes of one row from different origins."""
+    """Pairs (local.*, remote.* as structs) of the last changes of one row on both sides, from different origins."""
+    local, remote = latest(local), latest(remote)
     a = local.select("table_name", "pk_value", F.struct(*COLUMNS).alias("local"))
     b = remote.select("table_name", "pk_value", F.struct(*COLUMNS).alias("remote"))
     return a.join(b, ["table_name", "pk_value"]).where(~F.col("local.origin").eqNullSafe(F.col("remote.origin")))

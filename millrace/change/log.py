@@ -46,15 +46,16 @@ def batch_hash(changes: DataFrame) -> str:
 
 
 def batches(log: DataFrame, from_version: int, size: int = 1000):
-    """Every batch after a version, one after the other."""
-    while True:
-        batch = fetch_batch(log, from_version, size)
-        if batch.to_version == from_version:
-            return
-        yield batch
-        if not batch.has_more:
-            return
-        from_version = batch.to_version
+    """Every batch after a version, one after the other. Changes are numbered once, which tells where all batches end."""
+    own = since(log, from_version).select(F.col("version").alias("at"))
+    count = own.count()
+    if not count:
+        return
+    ends = [r["at"] for r in numbered(own, F.col("at")).where((F.col("version") % size == 0) | (F.col("version") == count)).select("at").collect()]
+    for to in (ends := sorted(ends)):
+        rows = log.where((F.col("version") > from_version) & (F.col("version") <= to))
+        yield Batch(rows, from_version, to, to != ends[-1], batch_hash(rows))
+        from_version = to
 
 
 def statistics(log: DataFrame) -> DataFrame:
@@ -100,13 +101,19 @@ def numbered(rows: DataFrame, order: Column, after: int = 0) -> DataFrame:
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keyed = rows.withColumn("__order", order)
-    kind = keyed.schema["__order"].dataType.simpleString()
-    if kind in ("string", "binary"):
-        # Ranges by a text's first characters keep its order.
-        keyed = keyed.withColumn("__range", F.substring(F.col("__order").cast("string"), 1, 4))
+    kind = keyed.schema["__order"].dataType
+    if kind.simpleString() in ("string", "binary"):
+        # Quantiles of the keys with the least hashes; they steer where the ranges end, and all rows are ranged.
+        some = keyed.select("__order").where("__order is not null").orderBy(F.xxhash64("__order")).limit(64 * parts).collect()
+        some = sorted(r[0].encode() if isinstance(r[0], str) else bytes(r[0]) for r in some)
+        cuts = [x.decode() if kind.simpleString() == "string" else x for x in sorted(set(some[len(some) * i // parts] for i in range(1, parts) if some))]
     else:
-        cuts = keyed.agg(F.percentile_approx("__order", [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []
-        keyed = keyed.withColumn("__range", F.size(F.filter(F.lit(sorted(set(cuts))) if cuts else F.array(), lambda c: c <= F.col("__order"))) if cuts else F.lit(0))
+        cuts = sorted(set(keyed.agg(F.percentile_approx("__order", [i / parts for i in range(1, parts)] or [0.5], 1000)).first()[0] or []))
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    at_or_below = lambda k: F.coalesce(F.get(F.array(*[F.lit(c).cast(kind) for c in cuts]), k) <= F.col("__order"), F.lit(False))
+    found = F.aggregate(F.lit(steps), F.lit(0), lambda k, step: k + F.when(at_or_below(k + step - 1), step).otherwise(0)) if cuts else F.lit(0)
+    # Nulls sort first, as in a window.
+    keyed = keyed.withColumn("__range", F.when(F.col("__order").isNull(), -1).otherwise(found))
     sizes = keyed.groupBy("__range").agg(F.count("*").alias("__n"))
     starts = sizes.select(F.col("__range").alias("r"), (F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__start"))
     own = keyed.join(starts, F.col("__range").eqNullSafe(F.col("r")))

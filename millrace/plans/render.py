@@ -4,17 +4,38 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from millrace.functions.scalar import RENDERED
 from millrace.lang import tree as t
 from millrace.lang.errors import QueryError
-from millrace.plans.block import Block, Rows, Source
+from millrace.plans.block import Block, Rows, Source, rewrite
 
 DIALECTS = ("spark", "postgres", "sqlite", "sqlserver")
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _BINDING = {"*": 3, "/": 3, "%": 3, "+": 2, "-": 2, "||": 2}
 
 
+def _collected(node: t.Node, test: Callable[[t.Node], bool]) -> list[t.Node]:
+    found: list[t.Node] = []
+
+    def look(x: t.Node) -> t.Node | None:
+        if test(x):
+            found.append(x)
+        return x if isinstance(x, Rows) else None
+
+    rewrite(node, look)
+    return found
+
+
+def _has_window(node: t.Node) -> bool:
+    return bool(_collected(node, lambda x: isinstance(x, t.Call) and x.over is not None))
+
+
+def _names(node: t.Node) -> list[t.Node]:
+    return _collected(node, lambda x: isinstance(x, t.Name))
+
+
 class Renderer:
     def __init__(self, dialect: str = "spark", columns: Callable[[str], list[str]] | None = None, truncate: Callable[[t.Node, Block], bool] | None = None):
         if dialect not in DIALECTS:
@@ -124,6 +145,17 @@ class Renderer:
             found |= {c.lower() for c in self.columns(s.table)}
         return found
 
+    def later(self, b: Block) -> list[t.Node]:
+        """Conditions on aliases of window functions, which hold for the rows that the block gives."""
+        windows = {s.alias.lower() for s in b.select if isinstance(s, t.Aliased) and _has_window(s.of)}
+        known = self.known(b) if windows else None
+        found = []
+        for w in b.where if windows else ():
+            names = _names(w)
+            if any(n.parts[-1].lower() in windows and (known is None or n.parts[-1].lower() not in known) for n in names):
+                found.append(w)
+        return found
+
     def where(self, b: Block) -> list[str]:
         """Conditions; a name that is only an alias of the select list stands for what it names."""
         aliases = {s.alias.lower(): s.of for s in b.select if isinstance(s, t.Aliased)}
@@ -137,11 +169,14 @@ class Renderer:
                     return aliases[last]
             return x if isinstance(x, Rows) else None
 
-        from millrace.plans.block import rewrite
-
         return [self.expr(rewrite(w, look)) for w in b.where]
 
     def core(self, b: Block) -> str:
+        if later := self.later(b):
+            # Window functions come after WHERE, so what tests them goes around the block.
+            inner = self.core(replace(b, where=tuple(w for w in b.where if w not in later)))
+            bare = lambda n: t.Name(n.parts[-1:], n.place) if isinstance(n, t.Name) else n if isinstance(n, Rows) else None
+            return f"SELECT * FROM ({inner}) {'AS ' * (self.dialect == 'spark')}{self.name(b.source.alias)} WHERE {' AND '.join(self.expr(rewrite(w, bare)) for w in later)}"
         self.here.append(b)
         top = f"TOP {self.expr(b.limit)} " if self.dialect == "sqlserver" and b.limit is not None and b.offset is None and not b.sets else ""
         parts = [f"SELECT {'DISTINCT ' * b.distinct}{top}{', '.join(self.expr(s) for s in b.select) or '*'}", f"FROM {self.source(b.source)}"]

@@ -84,9 +84,10 @@ def load_folder(folder: str) -> dict[str, Report]:
 
 
 class Runner:
-    """Runs reports over named engines (connections)."""
+    """Runs reports over named engines (connections). With ``most``, run() takes so many rows of each source to the driver
+    and tells the whole number, and render() refuses a source that has more."""
 
-    def __init__(self, engines: dict[str, Engine], most: int | None = 100_000):
+    def __init__(self, engines: dict[str, Engine], most: int | None = None):
         self.engines, self.most = engines, most
 
     def frames(self, report: Report, values: dict[str, Any] | None = None) -> dict[str, DataFrame]:
@@ -124,4 +125,7 @@ class Runner:
         write = {"json": export.to_json, "csv": export.to_csv}.get(format.lower())
         if write is None:
             raise ReportError(f"unknown format: {format}")
-        return {k: write(v) for k, v in self.run(report, values).items()}
+        found = self.run(report, values)
+        if cut := [k for k, v in found.items() if len(v.rows) < v.total]:
+            raise ReportError(f"data source {cut[0]}: {found[cut[0]].total} rows, more than {self.most}")
+        return {k: write(v) for k, v in found.items()}

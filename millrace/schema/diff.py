@@ -65,9 +65,12 @@ def _parts(have: Table, want: Table, add: list[Operation], drop: list[Operation]
 
 @dataclass
 class Migrated:
+    """done: what ran; noted: what has no statement in Spark and holds in our own schema alone."""
+
     done: list[Operation] = field(default_factory=list)
     failed: list[tuple[Operation, str]] = field(default_factory=list)
     planned: list[str] = field(default_factory=list)
+    noted: list[Operation] = field(default_factory=list)
 
 
 def migrate(spark: SparkSession, operations: list[Operation], dry_run: bool = False, go_on: bool = False) -> Migrated:
@@ -82,7 +85,7 @@ def migrate(spark: SparkSession, operations: list[Operation], dry_run: bool = Fa
         try:
             if text:
                 spark.sql(text)
-            out.done.append(operation)
+            (out.done if text else out.noted).append(operation)
         except Exception as e:
             out.failed.append((operation, str(e).split("\n")[0]))
             if not go_on:

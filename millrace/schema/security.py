@@ -7,12 +7,13 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.lang import tree as t
 from millrace.lang.errors import QueryError
 from millrace.lang.parser import parse
 from millrace.plans.block import Block, Builder, Rows, rewrite
-from millrace.plans.engine import Engine
+from millrace.plans.engine import Engine, statement_kind
 from millrace.plans.render import Renderer
 from millrace.schema.model import Policy
 
@@ -90,7 +91,7 @@ def _reads(engine: Engine, policies: tuple[Policy, ...]) -> None:
                 for name in Builder(program).block(program.result).tables() - {"x"}:
                     engine.tables.provide(name)
         for text in (p.using_sql, p.with_check_sql):
-            for name in engine.tables.mentioned(text or ""):
+            for name in engine.tables.mentioned(f"SELECT {text}") if text else ():
                 engine.tables.provide(name)
 
 
@@ -105,27 +106,77 @@ def secured(engine: Engine, table: str, policies: tuple[Policy, ...], who: Who,
     return _select(engine, table, condition(policies, who, operation))
 
 
-def secure(engine: Engine, policies: dict[str, tuple[Policy, ...]], who: Who) -> Engine:
-    """An engine whose tables with policies show only what ``who`` may read; policies themselves look into whole tables."""
-    from millrace.sources.tables import Tables
+class Secured(Engine):
+    """An engine in a session of its own, whose tables with policies show what ``who`` may read.
+
+    It knows the tables it was made with and no other name: the whole tables are in the first engine's session, the
+    catalog and files by their path are refused. It runs queries, and INSERT, UPDATE and DELETE through execute(); rows
+    that may not be written, changed or deleted raise AccessDenied and nothing is written.
+    """
 
-    tables = Tables(engine.spark, None, engine.tables.format)
-    tables.folder, tables.paths, tables.known = engine.tables.folder, dict(engine.tables.paths), dict(engine.tables.known)
-    shown = {name: secured(engine, name, own, who) for name, own in policies.items()}
-    for name, rows in shown.items():
-        tables.register(name, rows)
-    return Engine(engine.spark, tables, engine.int_division)
+    def __init__(self, engine: Engine, policies: dict[str, tuple[Policy, ...]], who: Who):
+        from millrace.sources.tables import Tables, adopted
+
+        self.base, self.who, self._adopted = engine, who, adopted
+        self.policies = {name.lower(): own for name, own in policies.items()}
+        session = engine.spark.newSession()
+        tables = Tables(session, None, engine.tables.format)
+        tables.closed, tables.folder, tables.paths, tables.known = True, engine.tables.folder, dict(engine.tables.paths), dict(engine.tables.known)
+        super().__init__(session, tables, engine.int_division)
+        for name in self.policies:
+            self._show(name)
+
+    def _show(self, table: str) -> None:
+        own = self.policies.get(table.lower())
+        rows = self.base.tables.get(table) if own is None else secured(self.base, table, own, self.who)
+        self.tables.register(table, self._adopted(rows, self.spark))
+
+    def sql(self, text: str, params: dict[str, Any] | None = None) -> DataFrame:
+        if statement_kind(text) not in ("select", "other") or re.match(r"\W*(?:create|drop|alter|insert|set|add|cache|refresh|load|use|reset|truncate|replace|merge|call|execute|declare|analyze|repair|msck|unset|uncache)\b", re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S), re.I):
+            raise QueryError("A secured engine runs queries; write with execute()")
+        return super().sql(text, params)
+
+    def _whole_table(self, table: str) -> DataFrame:
+        return self._adopted(self.base.tables.get(table), self.spark)
+
+    def _allow(self, table: str, operation: str, rows: DataFrame, new: bool) -> None:
+        if own := self.policies.get(table.lower()):
+            target = self.base.tables.get(table)
+            if new and len(rows.columns) == len(target.columns) and {c.lower() for c in rows.columns} != {c.lower() for c in target.columns}:
+                rows = rows.toDF(*target.columns)
+            if missing := [c for c in target.columns if c.lower() not in {x.lower() for x in rows.columns}]:
+                rows = rows.select("*", *[F.lit(None).cast(target.schema[c].dataType).alias(c) for c in missing])
+            check_write(self.base, table, own, self.who, self._adopted(rows, self.base.spark), operation, new)
+
+    def _insert(self, table: str, rows: DataFrame, by_name: bool) -> int:
+        self._allow(table, "insert", rows, True)
+        n = self.base.tables.append(table, self._adopted(rows, self.base.spark), by_name=by_name).count()
+        self._show(table)
+        return n
+
+    def _replaced(self, table: str, rows: DataFrame, touched: DataFrame) -> int:
+        n = touched.count()
+        if n:
+            self.base.tables.replace(table, self._adopted(rows, self.base.spark))
+            self._show(table)
+        return n
+
+
+def secure(engine: Engine, policies: dict[str, tuple[Policy, ...]], who: Who) -> Secured:
+    """An engine whose tables with policies show only what ``who`` may read; policies themselves look into whole tables."""
+    return Secured(engine, policies, who)
 
 
-def check_write(engine: Engine, table: str, policies: tuple[Policy, ...], who: Who, rows: DataFrame, operation: str) -> DataFrame:
-    """The rows, if all of them may be written (new rows for insert and update, old ones for delete); else AccessDenied.
+def check_write(engine: Engine, table: str, policies: tuple[Policy, ...], who: Who, rows: DataFrame, operation: str, new: bool | None = None) -> DataFrame:
+    """The rows, if all of them may be written (new rows of an insert or update) or touched (old ones of an update or
+    delete); else AccessDenied. Without ``new``, rows of an insert or update are taken for new ones.
 
     One job looks for a single row that fails.
     """
     _reads(engine, policies)
     view = f"__checked_{table}"
     rows.createOrReplaceTempView(view)
-    test = condition(policies, who, operation, checking=operation in ("insert", "update"))
+    test = condition(policies, who, operation, checking=operation in ("insert", "update") if new is None else new)
     # Names qualified by the table mean the rows that are written.
     failing = engine.spark.sql(f"SELECT 1 FROM `{view}` AS `{table}` WHERE NOT coalesce(({test}), FALSE) LIMIT 1")
     if not failing.isEmpty():
@@ -133,4 +184,4 @@ def check_write(engine: Engine, table: str, policies: tuple[Policy, ...], who: W
     return rows
 
 
-__all__ = ["AccessDenied", "Who", "check_write", "condition", "secure", "secured"]
+__all__ = ["AccessDenied", "Who", "check_write", "Secured", "condition", "secure", "secured"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,19 +15,30 @@ from millrace.lang.errors import QueryError
 FORMATS = ("parquet", "orc", "csv", "json")
 
 
+def adopted(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """The same rows in another session of the application, whose names it can't see."""
+    if df.sparkSession is spark:
+        return df
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed()), spark)
+
+
 class Tables:
     """A name's table is what was registered, or ``{folder}/{name}.{format}``, or a table of the session.
 
     provide() makes it a temporary view; what reads it then has its plan, so a later registration changes nothing there.
     The folder and its tables are only read unless ``writable``; a table registered at a path of its own can be written.
+    ``closed`` tables know no names but their own: nothing of the session's catalog, no file by its path.
     """
 
+    closed = False
+
     def __init__(self, spark: SparkSession, tables: str | dict[str, DataFrame | str] | None = None, format: str = "parquet", writable: bool = False):
         self.spark, self.format, self.writable = spark, format, writable
         self.folder = tables.rstrip("/") if isinstance(tables, str) else None
         self.known: dict[str, DataFrame] = {}
         self.paths: dict[str, tuple[str, str]] = {}
         self.registered: set[str] = set()
+        self.changed: set[str] = set()
         for name, table in (tables if isinstance(tables, dict) else {}).items():
             self.register(name, table)
 
@@ -50,11 +62,13 @@ class Tables:
             elif self.folder and "." not in name:
                 try:
                     self.known[key] = self.read(f"{self.folder}/{name}.{self.format}", self.format)
-                except Exception:
-                    if not self.spark.catalog.tableExists(name):
+                except AnalysisException as e:
+                    if e.getCondition() != "PATH_NOT_FOUND":
+                        raise
+                    if self.closed or not self.spark.catalog.tableExists(name):
                         raise QueryError(f"Unknown table: {name}") from None
                     self.known[key] = self.spark.table(name)
-            elif self.spark.catalog.tableExists(name):
+            elif not self.closed and self.spark.catalog.tableExists(name):
                 self.known[key] = self.spark.table(name)
             else:
                 raise QueryError(f"Unknown table: {name}")
@@ -69,12 +83,20 @@ class Tables:
 
     def provide(self, name: str) -> None:
         if "." not in name:
-            self.get(name).createOrReplaceTempView(name)
+            adopted(self.get(name), self.spark).createOrReplaceTempView(name)
+        elif self.closed:
+            raise QueryError(f"Unknown table: {name}")
 
     def mentioned(self, sql: str) -> list[str]:
-        """Names in SQL text that are tables here."""
-        words = {w.lower() for w in re.findall(r"(?:from|join|into|table|,)\s+([A-Za-z_]\w*)", sql, re.I)}
-        return [w for w in sorted(words) if w in self.known or w in self.paths or (self.folder and self.has(w))]
+        """Names that Spark's parser takes for relations in SQL text, and that are tables here. Quotes, comments, nested
+        queries and names that a WITH clause hides are the parser's business. Closed tables refuse any other name."""
+        tree = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+        names = {tuple(x.split(", ")) for x in re.findall(r"UnresolvedRelation \[(.*?)\], \[", tree)}
+        own = {w.lower() for w in re.findall(r"(?m)^[ :+-]*CTE \[(.*?)\]", tree) for w in w.split(", ")}
+        if self.closed and (bad := [n for n in names if len(n) > 1]):
+            raise QueryError(f"Unknown table: {'.'.join(sorted(bad)[0])}")
+        found = sorted({n[0].lower() for n in names if len(n) == 1})
+        return [w for w in found if w in self.known or w in self.paths or (self.folder and self.has(w)) or (self.closed and w not in own and self.has(w))]
 
     def schema(self, name: str) -> T.StructType:
         return self.get(name).schema
@@ -120,25 +142,57 @@ class Tables:
             self.spark.catalog.refreshByPath(path)
         else:
             self.known[key] = target.unionByName(fitted)
+        self.changed.add(key)
         return fitted
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Puts rows in a table's place. At a path they are written beside it first and then swapped in, so that a failed
-        write leaves the old rows; there must be one writer."""
-        key = name.lower()
-        place = self.place(name)
-        if place is None:
-            self.known[key] = rows
-            return
-        path, format = place
+        """Puts rows in a table's place."""
+        self.put({name: rows})
+
+    def put(self, changes: dict[str, DataFrame]) -> None:
+        """Puts rows in the places of several tables: all of them or, if something fails, none.
+
+        At a path they are written beside the old rows; once everything is written all are swapped in, and swapped back
+        if one can't be. So rows may read any of the old tables. There must be one writer.
+        """
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        path_of = jvm.org.apache.hadoop.fs.Path
-        staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-        rows.write.format(format).save(staged)
-        files = path_of(path).getFileSystem(conf)
-        if files.exists(path_of(path)):
-            files.rename(path_of(path), path_of(old))
-        files.rename(path_of(staged), path_of(path))
-        files.delete(path_of(old), True)
-        self.known.pop(key, None)
-        self.spark.catalog.refreshByPath(path)
+        mark = uuid.uuid4().hex
+        places = {name: place for name in changes if (place := self.place(name))}
+
+        def at(path: str):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            return p, p.getFileSystem(conf)
+
+        def move(a: str, b: str) -> None:
+            p, files = at(a)
+            if not files.rename(p, at(b)[0]):
+                raise OSError(f"can't move {a} to {b}")
+
+        def remove(path: str) -> None:
+            p, files = at(path)
+            files.delete(p, True)
+
+        swapped: list[str] = []
+        try:
+            for name, (path, format) in places.items():
+                changes[name].write.format(format).save(f"{path}.staged-{mark}")
+            for path, _ in places.values():
+                swapped.append(path)
+                if (p := at(path))[1].exists(p[0]):
+                    move(path, f"{path}.old-{mark}")
+                move(f"{path}.staged-{mark}", path)
+        except Exception:
+            for path in reversed(swapped):
+                if (p := at(f"{path}.old-{mark}"))[1].exists(p[0]):
+                    remove(path)
+                    move(f"{path}.old-{mark}", path)
+            for path, _ in places.values():
+                remove(f"{path}.staged-{mark}")
+            raise
+        for name, rows in changes.items():
+            if name in places:
+                remove(f"{places[name][0]}.old-{mark}")
+                self.known.pop(name.lower(), None)
+                self.spark.catalog.refreshByPath(places[name][0])
+            else:
+                self.known[name.lower()] = rows

@@ -19,7 +19,7 @@ def sql(text, dialect="postgres"):
     [
         ("users", "SELECT * FROM users"),
         ("users |> select(users.id, users.name as n)", "SELECT users.id, users.name AS n FROM users"),
-        ("users |> filter(fn(row) => row.users.age > 18 and row.users.country = 'US')", "SELECT * FROM users WHERE (users.age > 18 AND users.country = 'US')"),
+        ("boats |> filter(fn(b) => b.boats.length_m > 7 and b.boats.port = 'Kiel')", "SELECT * FROM boats WHERE (boats.length_m > 7 AND boats.port = 'Kiel')"),
         ("users |> select_distinct(country)", "SELECT DISTINCT country FROM users"),
         ("orders |> group_by(orders.user_id) |> having(fn(g) => count(*) > 2) |> select(orders.user_id, count(*) as n) |> order_by(n desc)", "SELECT orders.user_id, COUNT(*) AS n FROM orders GROUP BY orders.user_id HAVING COUNT(*) > 2 ORDER BY n DESC"),
         ("users |> join(orders, on = users.id = orders.user_id) |> left_join(p, on = p.id = orders.p)", "SELECT * FROM users INNER JOIN orders ON users.id = orders.user_id LEFT JOIN p ON p.id = orders.p"),
