@@ -83,8 +83,10 @@ def _apply(name: str, args: list[Column], texts: list[str | None]) -> Column:
     if not a:
         return F.lit("") if name == "concat" else F.lit(None).cast("string")
     blank = r"^[\s\u00a0\u2000-\u200a\u3000]+|[\s\u00a0\u2000-\u200a\u3000]+$"
-    if name in ("upper", "lower", "length"):
+    if name in ("upper", "lower"):
         return getattr(F, name)(a[0])
+    if name == "length":  # in UTF-16 units, as the mappings' own runtime counts
+        return F.char_length(a[0]) + F.regexp_count(a[0], F.lit("[\\x{10000}-\\x{10FFFF}]"))
     if name == "trim":
         return F.regexp_replace(a[0], blank, "")
     if name == "concat":

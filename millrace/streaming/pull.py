@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,49 @@ def pull_stream(spark: SparkSession, folder: str, origin: str, apply: Callable[[
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
+class Buffers:
+    """What live subscribers have not read yet: at most ``size`` events each, the oldest dropped first, and none for a
+    subscriber that has not been heard of for ``idle`` seconds. Times are given, in seconds."""
+
+    def __init__(self, size: int = 1000, idle: float = 3600):
+        self.size, self.idle = size, idle
+        self.events: dict[str, deque[Any]] = {}
+        self.seen: dict[str, float] = {}
+        self.dropped: dict[str, int] = {}
+
+    def open(self, subscriber: str, now: float) -> None:
+        self.events.setdefault(subscriber, deque(maxlen=self.size))
+        self.dropped.setdefault(subscriber, 0)
+        self.seen[subscriber] = now
+
+    def offer(self, subscriber: str, event: Any) -> bool:
+        """Whether there is such a subscriber."""
+        if subscriber not in self.events:
+            return False
+        self.dropped[subscriber] += len(self.events[subscriber]) == self.size
+        self.events[subscriber].append(event)
+        return True
+
+    def touch(self, subscriber: str, now: float) -> None:
+        if subscriber in self.seen:
+            self.seen[subscriber] = now
+
+    def take(self, subscriber: str, now: float) -> list[Any]:
+        """All that is buffered, which is gone then."""
+        self.touch(subscriber, now)
+        out = list(self.events.get(subscriber, ()))
+        if out:
+            self.events[subscriber].clear()
+        return out
+
+    def clean(self, now: float) -> list[str]:
+        """Forgets the subscribers that have been idle; their names."""
+        gone = [k for k, at in self.seen.items() if now - at >= self.idle]
+        for k in gone:
+            del self.events[k], self.seen[k], self.dropped[k]
+        return gone
+
+
 def fan_out(spark: SparkSession, folder: str, subscriptions: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, now: Callable[[], str]) -> StreamingQuery:
     """Live subscriptions: every micro-batch's notifications go to deliver()."""
     from millrace.change.clients import notifications
