@@ -23,10 +23,9 @@ SAMPLE_PER_LANGUAGE = 300
 #: Lengths of the pieces of text, in characters, that training sees as units; a document gives about PIECES_OF_ONE, spread
 #: over it, so that the sample is bounded in text too. Prediction reads whole texts.
 PIECE, PIECES_OF_ONE = (240, 60, 20), 9
-#: The share of held-back labelled pieces that calibration lets be rejected.
-REJECTED_SHARE = 0.01
-#: No more confidence than this is asked of any text.
-MOST_ASKED = 0.9
+#: A prediction is rejected if its confidence is by the first number under the least that any whole document held back
+#: from training has, and never above the second: clean documents stay, even where many are mixed.
+MARGIN, MOST_ASKED = 0.15, 0.9
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -63,7 +62,7 @@ class Model:
     languages: list[str]
     scores: np.ndarray  # a row of class scores per bucket
     bias: np.ndarray
-    least: tuple[float, ...]  # of texts with at least so many letters as a piece has, predictions under this confidence are rejected
+    least: float  # predictions under this confidence are rejected
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -75,27 +74,28 @@ class Model:
         p = np.exp(z - z.max())
         p /= p.sum()
         best = int(p.argmax())
-        size = sum(len(idx) // len(GRAMS) >= x for x in sorted(PIECE)[1:])
-        return self.languages[best], float(p[best]), bool(p[best] < self.least[size])
+        return self.languages[best], float(p[best]), bool(p[best] < self.least)
 
 
 def fit(texts: list[list[str]], langs: list[str], epochs: int = 3, seed: int = 7) -> Model:
     """Trains on labelled texts. One language: it is always predicted, and every text without foreign n-grams accepted; no
     labelled text: a model that knows no language. The result depends on the inputs alone."""
     if not texts:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), (0.0,) * len(PIECE), 1.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 0.0, 1.0)
     languages = sorted(set(langs))
     pieces: list[tuple[np.ndarray, int]] = []
-    for text, lang in zip(texts, langs, strict=True):  # a text is the list of its pieces
+    owner: list[int] = []
+    for k, (text, lang) in enumerate(zip(texts, langs, strict=True)):  # a text is the list of its pieces
         for j, piece in enumerate(text):
             if (idx := features(piece[: PIECE[j % len(PIECE)]])) is not None:
                 pieces.append((idx, languages.index(lang)))
+                owner.append(k)
     if not pieces:
-        pieces = [(np.zeros(1, np.uint32), k) for k in range(len(languages))]
+        pieces, owner = [(np.zeros(1, np.uint32), k) for k in range(len(languages))], list(range(len(languages)))
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(pieces))
-    aside = order[: len(order) // 5]
-    order = order[len(order) // 5 :]
+    # Whole documents are set aside, a fifth of them.
+    held = np.isin(owner, rng.permutation(len(texts))[: len(texts) // 5])
+    aside, order = np.flatnonzero(held), np.flatnonzero(~held)
     table, layer, bias = rng.normal(0, 1 / DIMS, (BUCKETS, DIMS)), np.zeros((DIMS, len(languages))), np.zeros(len(languages))
     layer[:] = rng.normal(0, 0.1, layer.shape)
     steps = max(1, epochs * -(-len(order) // 32))
@@ -120,7 +120,7 @@ def fit(texts: list[list[str]], langs: list[str], epochs: int = 3, seed: int = 7
             of = np.repeat(np.arange(len(own)), lengths)
             weight = np.bincount(where * len(own) + of, minlength=len(rows) * len(own)).reshape(len(rows), len(own))
             table[rows] -= rate * 20 * weight @ back
-    model = Model(languages, table @ layer, bias, (0.0,) * len(PIECE), 1.0)
+    model = Model(languages, table @ layer, bias, 0.0, 1.0)
     # Temperature and the least confidence come from the pieces set aside.
     z = np.array([np.bincount(pieces[k][0], minlength=BUCKETS) @ model.scores / len(pieces[k][0]) + bias for k in aside])
     if len(z):
@@ -132,15 +132,11 @@ def fit(texts: list[list[str]], langs: list[str], epochs: int = 3, seed: int = 7
             return float(np.mean(np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]))
 
         model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-        s = z / model.temperature
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        best, sizes, least = (p / p.sum(axis=1, keepdims=True)).max(axis=1), np.array([len(pieces[k][0]) // len(GRAMS) for k in aside]), 0.0
-        done = []
-        for size in sorted(PIECE):  # longer texts are surer, so more is asked of them
-            own = np.sort(best[sizes >= size * 3 // 4])
-            least = max(least, float(own[int(len(own) * REJECTED_SHARE)]) if len(own) >= 20 else 0.0)
-            done.append(min(least, MOST_ASKED))
-        model.least = tuple(done)
+        whose, weights = np.array(owner)[aside], np.array([len(pieces[k][0]) for k in aside], float)
+        _, row = np.unique(whose, return_inverse=True)
+        mean = np.stack([np.bincount(row, weights * z[:, c]) for c in range(z.shape[1])], axis=1) / np.bincount(row, weights)[:, None] / model.temperature
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        model.least = float(min((p / p.sum(axis=1, keepdims=True)).max(axis=1).min() - MARGIN, MOST_ASKED))
     return model
 
 
