@@ -133,7 +133,9 @@ def test_simhash(spark):
     fps = [brute_fingerprint(r.text) for r in rows]
     want = brute_components([(r.doc_id, f) for r, f in zip(rows, fps)], lambda a, b: (a ^ b).bit_count() <= 4)
     got = simhash_dedup.near_duplicates(df).collect()
-    assert same_rows([tuple(r) for r in got], [(r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, want)])
+    assert same_rows([(r.doc_id, r.fingerprint, r.component_id) for r in got], [(r.doc_id, f"{f:016x}", c) for r, f, c in zip(rows, fps, want)])
+    # The component's name tells the same groups apart as its smallest id.
+    assert len({(r.component, r.component_id) for r in got}) == len({r.component for r in got}) >= len({r.component_id for r in got})
     assert simhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
