@@ -97,11 +97,18 @@ def _heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(heads[retained(heads)].view(np.int64))], ["key"])
 
 
+def _runs(places: np.ndarray) -> np.ndarray:
+    """The first and the last place of each run of ascending places at most a passage apart, one after the other."""
+    apart = np.flatnonzero(np.diff(places) > PASSAGE)
+    return np.stack((places[np.append(0, apart + 1)], places[np.append(apart, len(places) - 1)]), axis=1).ravel()
+
+
 def _suffixes(crowded: np.ndarray):
     """Rows (deal, crowd, key, row, doc_id, at, rest, passages, more): retained suffixes with the hashes of the passages around them.
 
     Suffixes of one document that agree in all that is compared (periodic texts have many) are one row: the first, with
-    the places of all of them in ``more``. Suffixes of a crowded head are dealt out evenly, others by their head.
+    the places of all of them in ``more``: the first and the last of each run of places at most a passage apart, whose
+    stretches touch whatever they are. Suffixes of a crowded head are dealt out evenly, others by their head.
     """
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +126,7 @@ def _suffixes(crowded: np.ndarray):
                 if len(np.unique(heads)) < len(heads):
                     _, first, which = np.unique(heads + _sums(wide, at, rest), return_index=True, return_inverse=True)
                     order, sizes = np.argsort(which, kind="stable"), np.bincount(which)
-                    more = [p.tolist() if len(p) > 1 else None for p in np.split(at[order], np.cumsum(sizes)[:-1])]
+                    more = [_runs(p).tolist() if len(p) > 1 else None for p in np.split(at[order], np.cumsum(sizes)[:-1])]
                     at, heads, rest, wide = at[first], heads[first], rest[first], wide[first]
                 for column, x in zip(parts, (heads.view(np.int64), np.full(len(at), k), at, rest, wide, more), strict=True):
                     column.append(x)
@@ -161,7 +168,7 @@ def _spread(hit: np.ndarray, columns: dict[str, np.ndarray], start: np.ndarray,
     for k in np.flatnonzero(np.array([more[h] is not None for h in hit], bool)):
         h, o = hit[k], other[k]
         by = np.asarray(more[h], np.int64) - at[h]
-        a, b = start[k] + by, stop[k] + by
+        a, b = start[k] + by[::2], stop[k] + by[1::2]
         new = np.concatenate(([True], a[1:] > b[:-1]))
         a, b = a[new], b[np.append(np.flatnonzero(new)[1:], len(b)) - 1]
         for column, x in zip(out, (np.full(len(a), row[h]), np.full(len(a), ids[h]), a, b, np.full(len(a), row[o]), np.full(len(a), ids[o])), strict=True):
@@ -228,9 +235,10 @@ def _compared(most: int):
     return rows
 
 
-def _of_crowds(suffixes: DataFrame) -> DataFrame:
+def _of_crowds(suffixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Stretches of the suffixes of crowded heads, by aggregation: suffixes with equal surroundings count as one, so that
-    a third of all rows can share a passage."""
+    a third of all rows can share a passage. A suffix has one stretch for each run of its places, with the least of the
+    rows that stand for its groups; the links (a, b) join the rows that stand for the groups that meet in one suffix."""
     who = F.struct((F.col("row") < 0).alias("none"), "doc_id", "row")
     alike = suffixes.groupBy("key", "sum").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.first("passages").alias("passages"), F.first(F.least("at", F.lit(REACH))).alias("at"), F.first("rest").alias("rest"))
     fitting = F.expr(f"filter(sequence(0, {REACH}), j -> {REACH} - j <= at and j <= rest)")
@@ -240,12 +248,13 @@ def _of_crowds(suffixes: DataFrame) -> DataFrame:
     met = own.drop("lo", "hi").join(materialise(shared, "suffix-shared"), ["key", "j", "passage"])
     # At most WINDOW different groups meet in one suffix.
     met = materialise(met.groupBy("key", "sum").agg(F.min("j").alias("first"), F.max("j").alias("last"), F.collect_set(F.struct("lo", "hi")).alias("groups")), "suffix-met")
-    out = suffixes.join(met, ["key", "sum"]).withColumn("g", F.explode("groups"))
-    out = out.withColumn("with", F.when(F.col("row") == F.col("g.lo.row"), F.col("g.hi")).otherwise(F.col("g.lo")))
-    out = out.withColumn("place", F.explode(F.coalesce("more", F.array("at"))))
-    out = out.withColumn("place", F.col("place").cast("long"))
-    start, stop = F.col("place") - REACH + F.col("first"), F.col("place") + HEAD + F.col("last")
-    return out.select("row", "doc_id", start.alias("start"), stop.alias("stop"), F.col("with.row").alias("other"), F.col("with.doc_id").alias("other_id"))
+    rows = F.array_distinct(F.transform("groups", lambda g: g["lo"]["row"]))
+    links = met.select(rows.alias("rows")).where("size(rows) > 1").select(F.col("rows")[0].alias("a"), F.explode(F.expr("slice(rows, 2, size(rows) - 1)")).alias("b"))
+    least = F.array_min(F.transform("groups", lambda g: F.when(F.col("row") == g["lo"]["row"], g["hi"]).otherwise(g["lo"])))
+    own = suffixes.join(met, ["key", "sum"]).select("row", "doc_id", "first", "last", least.alias("with"), F.coalesce("more", F.array("at", "at")).alias("runs"))
+    out = own.select("row", "doc_id", "first", "last", "with", F.inline(F.expr("transform(sequence(0, size(runs) - 2, 2), k -> struct(cast(runs[k] as long) as from, cast(runs[k + 1] as long) as to))")))
+    start, stop = F.col("from") - REACH + F.col("first"), F.col("to") + HEAD + F.col("last")
+    return out.select("row", "doc_id", start.alias("start"), stop.alias("stop"), F.col("with.row").alias("other"), F.col("with.doc_id").alias("other_id")), links
 
 
 def repeated_passages(docs: DataFrame, most: int = MOST_OF_HEAD, look: int = LOOK, crowd: int = CROWD) -> DataFrame:
@@ -275,8 +284,11 @@ def repeated_passages(docs: DataFrame, most: int = MOST_OF_HEAD, look: int = LOO
     found = materialise(dealt.mapInArrow(_compared(most), "row long, doc_id long, start long, stop long, other long, other_id long, key long, at int, rest int, sum long, passages binary, more array<int>"), "suffix-found")
     aside = found.where("key is not null").select("row", "doc_id", *_SUFFIX)
     found = found.where("key is null").select(*_FOUND)
+    links = found.select(F.col("row").alias("a"), F.col("other").alias("b"))
     if not aside.isEmpty():
-        found = materialise(found.unionByName(_of_crowds(aside)), "suffix-all")
+        stretches, more = _of_crowds(aside)
+        found = materialise(found.unionByName(stretches), "suffix-all")
+        links = found.select(F.col("row").alias("a"), F.col("other").alias("b")).unionByName(more)
     # Stretches of one document that touch or overlap become one.
     line = Window.partitionBy("row").orderBy("start", "stop")
     reached = F.max("stop").over(line.rowsBetween(Window.unboundedPreceding, -1))
@@ -284,7 +296,7 @@ def repeated_passages(docs: DataFrame, most: int = MOST_OF_HEAD, look: int = LOO
     merged = merged.withColumn("stretch", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     other = F.min(F.struct((F.col("other") < 0).alias("none"), F.col("other_id").alias("id"))).alias("other")
     merged = materialise(merged.groupBy("row", "stretch").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), other), "suffix-stretches")
-    parts = connected_components(found.select(F.col("row").alias("a"), F.col("other").alias("b")), "suffix")
+    parts = connected_components(links, "suffix")
     merged = merged.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     merged = materialise(merged, "suffix-owned")
     least = merged.groupBy("component").agg(F.min(F.struct((F.col("row") < 0).alias("none"), F.col("doc_id").alias("id"))).alias("least"))

@@ -214,6 +214,38 @@ def test_passages_of_documents_without_id(spark):
     assert got == {(None, 0, 60, None, None), (7, 0, 60, None, 7), (None, 1, 61, 7, 7)}
 
 
+def test_crowded_heads_make_few_stretches(spark, monkeypatch):
+    """Of periodic texts, the places of a suffix make one stretch, and the groups it is in add none."""
+    made, plain = {}, suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, tag: made.setdefault(tag, plain(df, tag)))
+    counts = []
+    for copies, times in ((8, 30), (8, 120), (32, 30)):
+        rows = [(k, f"{prose(k % 4, k)} {prose(7, 60) * times} {prose(3, k)} {prose(40, 62)} {prose(9, 60) * times}", None) for k in range(copies)]
+        df = spark.createDataFrame([(k, " ".join(f"{x}." for x in text.split()), none) for k, text, none in rows], "doc_id long, text string, lang string")
+        made.clear()
+        got = suffix_dedup.repeated_passages(df, look=1, crowd=1).collect()
+        assert same_rows([(r.doc_id, r.start, r.stop) for r in got], brute_stretches(df.collect()))
+        assert {r.component_id for r in got} == {0}
+        counts.append(made["suffix-all"].count())
+        assert counts[-1] <= made["suffix-found"].count(), "no more than there are suffixes"
+    assert counts[1] <= 1.2 * counts[0], "longer runs make no more stretches"
+    assert counts[2] <= 4.8 * counts[0], "they grow with the copies, not with their square"
+
+
+def test_crowded_heads_join_all_their_groups(spark, monkeypatch):
+    """0 and 3 share a passage, 3 and 2, 2 and 1, all around one head: 3 names 0 only and 2 names 1 only, yet they are one component."""
+    made, plain = {}, suffix_dedup.materialise
+    monkeypatch.setattr(suffix_dedup, "materialise", lambda df, tag: made.setdefault(tag, plain(df, tag)))
+    left, middle, right, other = (prose(n, 300 + k) for k, n in enumerate((6, 44, 6, 6)))
+    texts = (f"{middle} {right}", f"{middle} {other}", f"{left} {middle} {other}", f"{left} {middle} {right}")
+    df = spark.createDataFrame([(k, f"{prose(30, 400 + k)} {text} {prose(30, 500 + k)}") for k, text in enumerate(texts)], "doc_id long, text string")
+    got = suffix_dedup.repeated_passages(df, look=1, crowd=1).collect()
+    assert made["suffix-met"].where("size(groups) > 1").count() and made["suffix-found"].where("key is null").isEmpty()
+    assert {(r.doc_id, r.other_doc, r.component_id) for r in got} == {(0, 3, 0), (1, 2, 0), (2, 1, 0), (3, 0, 0)}
+    assert same_rows([(r.doc_id, r.start, r.stop) for r in got], brute_stretches(df.collect()))
+    assert same_rows(suffix_dedup.repeated_passages(df).collect(), got)
+
+
 def test_words_with_like_hashes_differ(spark):
     """Two words whose hashes agree in many bits are still two words."""
     seen, k = {}, 0
